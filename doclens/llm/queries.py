@@ -27,3 +27,23 @@ def op3_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return digest_documents(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query
+def op5_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm.arc_to_warc import pages_through_archives
+
+    return pages_through_archives(table(spark, sf_dir, "pages"))
+
+
+ORACLE_SQL["op5_arc_to_warc"] = """
+WITH p AS (
+  SELECT page_id, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages
+), g AS (
+  SELECT payload_digest, max(page_id) AS newest FROM p WHERE payload_bytes >= 1000 GROUP BY 1
+)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN newest IS NULL OR page_id = newest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> newest THEN newest END AS refers_to
+FROM p LEFT JOIN g USING (payload_digest)
+"""
