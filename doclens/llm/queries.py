@@ -47,3 +47,10 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN page_id <> newest THEN newest END AS refers_to
 FROM p LEFT JOIN g USING (payload_digest)
 """
+
+
+@query
+def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm.secrets_entropy import secret_digests
+
+    return secret_digests(table(spark, sf_dir, "documents"))
