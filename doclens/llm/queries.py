@@ -54,3 +54,19 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm.secrets_entropy import secret_digests
 
     return secret_digests(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm.decontaminate import contamination_digests
+
+    return contamination_digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def _op8_sql() -> str:
+    from doclens.llm.decontaminate import SQL
+
+    return SQL
+
+
+ORACLE_SQL["op8_decontaminate"] = _op8_sql()
