@@ -70,3 +70,10 @@ def _op8_sql() -> str:
 
 
 ORACLE_SQL["op8_decontaminate"] = _op8_sql()
+
+
+@query
+def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm.quality_gam import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
