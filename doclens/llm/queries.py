@@ -77,3 +77,10 @@ def op1_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm.quality_gam import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op6_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm.toxicity_kn import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
