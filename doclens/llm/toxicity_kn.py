@@ -3,8 +3,8 @@
 One model is estimated from toxic and one from ordinary training documents, over the characters of each word with
 its boundaries: interpolated Kneser-Ney, that is, token counts at the highest order and below it the number of
 different characters that an n-gram follows (tokens where it opens the word, which nothing precedes). The lowest
-order is shared by both classes, so an expression that neither has seen often gets nearly the same probability from
-both. The log-likelihood ratio of a word is the sum over its characters; a document has the ratio by character
+order is shared by both classes, and a toxic context backs off, with the weight of ``prior`` tokens, to the ordinary
+probability at the same order, so an expression that neither class has seen often gets nearly the same from both. The log-likelihood ratio of a word is the sum over its characters; a document has the ratio by character
 (length-normalised), that of its most suspect word and of its most suspect word by character, and the share of
 suspect words. A logistic regression on these four, fitted on training documents that the counts have not seen,
 makes a probability of them.
@@ -77,6 +77,7 @@ class KneserNey:
     kinds: np.ndarray
     base: np.ndarray
     bits: int = BITS
+    prior: float = 4.0
 
     def ratio(self, words: list[str]) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary)."""
@@ -84,15 +85,18 @@ class KneserNey:
         if not len(owner):
             return np.zeros(len(words))
         shared = (self.base[grams[0]] + 0.5) / (self.base.sum() + 0.5 * 256)
-        logs = []
-        for c in (1, 0):
+        ordinary = [shared] * len(grams)
+        for c in (0, 1):
             p = shared
-            for n in range(2, len(grams) + 1):
-                total = self.totals[c, n - 1][contexts[n - 1]].astype(np.float64)
-                seen = np.maximum(self.counts[c, n - 1][grams[n - 1]] - DISCOUNT, 0)
-                left = DISCOUNT * np.minimum(self.kinds[c, n - 1][contexts[n - 1]], total)
-                p = np.where(total > 0, (seen + left * p) / np.maximum(total, 1e-9), p)
-            logs.append(np.log(np.maximum(p, 1e-12)))
+            for n in range(1, len(grams)):
+                total = self.totals[c, n][contexts[n]].astype(np.float64)
+                seen = np.maximum(self.counts[c, n][grams[n]] - DISCOUNT, 0)
+                p = seen + DISCOUNT * np.minimum(self.kinds[c, n][contexts[n]], total) * p + np.where(total > 0, 0, p)
+                if c:  # toxic contexts are few: a rare one says little against what is ordinary there
+                    p = (p + self.prior * ordinary[n]) / (np.maximum(total, 1) + self.prior)
+                else:
+                    p = ordinary[n] = p / np.maximum(total, 1)
+        logs = [np.log(np.maximum(x, 1e-12)) for x in (p, ordinary[-1])]
         return np.bincount(owner, logs[0] - logs[1], len(words))
 
 
@@ -129,9 +133,11 @@ def build_model(cells: list[tuple[int, int, tuple[np.ndarray, ...]]], bits: int
 
 
 def document_features(ratios: np.ndarray, lengths: np.ndarray) -> tuple[float, float, float, float]:
+    """By character, at most of a word, at most of a word by character, share of suspect words. The first and the last
+    are damped for short documents, where a single odd word would decide."""
     if not len(ratios):
         return (0.0, 0.0, 0.0, 0.0)
-    return (float(ratios.sum() / lengths.sum()), float(ratios.max()), float((ratios / lengths).max()), float((ratios > 4).mean()))
+    return (float(ratios.sum() / (lengths.sum() + 300)), float(ratios.max()), float((ratios / lengths).max()), float((ratios > 4).sum() / (len(ratios) + 20)))
 
 
 class Scorer:
