@@ -84,3 +84,10 @@ def op6_toxicity_kn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm.toxicity_kn import classify
 
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op4_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm.html_density import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
