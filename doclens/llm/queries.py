@@ -91,3 +91,10 @@ def op4_html_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm.html_density import extract_pages
 
     return extract_pages(table(spark, sf_dir, "pages"))
+
+
+@query
+def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm.bagminhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
