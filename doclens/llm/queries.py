@@ -98,3 +98,10 @@ def op10_bagminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm.bagminhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept_lines", "text")
