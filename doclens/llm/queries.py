@@ -105,3 +105,26 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from doclens.llm.line_dedup import dedup_lines
 
     return dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_lines", "n_kept_lines", "text")
+
+
+@query
+def op2_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from doclens.llm.embedding_covertree import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+#: By brute force; the cosine as the operator forms it, from unit vectors.
+ORACLE_SQL["op2_cover_tree"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95
+), r(vec_id, reached) AS (
+  SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached
+), c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY 1
+), n AS (SELECT a AS vec_id, count(*) AS n FROM l GROUP BY 1
+)
+SELECT vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)
+"""
