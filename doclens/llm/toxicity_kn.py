@@ -3,15 +3,15 @@
 One model is estimated from toxic and one from ordinary training documents, over the characters of each word with
 its boundaries: interpolated Kneser-Ney, that is, token counts at the highest order and below it the number of
 different characters that an n-gram follows (tokens where it opens the word, which nothing precedes). The lowest
-order is shared by both classes, and a toxic context backs off, with the weight of ``prior`` tokens, to the ordinary
+order is shared by both classes, and a toxic context backs off, with the weight of PRIOR tokens, to the ordinary
 probability at the same order, so an expression that neither class has seen often gets nearly the same from both. The log-likelihood ratio of a word is the sum over its characters; a document has the ratio by character
 (length-normalised), that of its most suspect word and of its most suspect word by character, and the share of
 suspect words. A logistic regression on these four, fitted on training documents that the counts have not seen,
 makes a probability of them.
 
 Counts come from every labelled training document: words are counted by class with partial aggregation, and each
-partition of the words sends its character n-gram counts as tables of ``2**bits`` cells an order. So the model's size
-is fixed however large the corpus is; n-grams that share a cell share counts.
+partition of the words sends its character n-gram counts, hashed to ``2**bits`` cells an order at most (fewer for low
+orders). So the model's size is fixed however large the corpus is, some 26 MB; n-grams that share a cell share counts.
 """
 
 from __future__ import annotations
@@ -27,12 +27,18 @@ from pyspark.sql import functions as F
 ORDER = 6
 BITS = 20
 DISCOUNT = 0.75
+PRIOR = 4.0
 SMALL = 2_000_000  # label rows that may be broadcast: about 50 MB
 MAX_FIT = 40_000  # labelled rows for the logistic regression
 _WORD = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def order_bits(n: int, bits: int) -> int:
+    """Table size of order n: there are few n-grams of one or two characters."""
+    return min(bits, 3 * n + 7)
+
+
 def words_of(text: str | None) -> list[str]:
     return _WORD(text.lower()) if text else []
 
@@ -56,9 +62,9 @@ def ngram_cells(words: list[str], bits: int = BITS, order: int = ORDER) -> tuple
     flat = np.concatenate([x for c in codes for x in (pad, c)])
     start = np.cumsum([0] + [len(c) + order - 1 for c in codes[:-1]]) + order - 1
     at = np.concatenate([np.arange(s + 1, s + len(c)) for s, c in zip(start, codes)])
-    shift = np.uint64(64 - bits)
     context = np.zeros(len(at), np.uint64)
     for n in range(1, order + 1):
+        shift = np.uint64(64 - order_bits(n, bits))
         if n > 1:
             context = (context ^ (flat[at - (n - 1)] + np.uint64(n * 1_000_003))) * _MIX
             context ^= context >> np.uint64(29)
@@ -69,35 +75,28 @@ def ngram_cells(words: list[str], bits: int = BITS, order: int = ORDER) -> tuple
 
 @dataclass
 class KneserNey:
-    """counts[c, n-1]: n-gram tokens of class c by cell; totals the same by context; kinds: different n-grams by
-    context. base: the shared continuation counts, by unigram cell."""
+    """Interpolation tables by order - 1, from the second on: p(character | context) is seen[gram] + back[context] *
+    the probability of the next lower order, and for the toxic class + prior[context] * the ordinary probability of
+    the same order. base: the shared probability by unigram cell."""
 
-    counts: np.ndarray
-    totals: np.ndarray
-    kinds: np.ndarray
+    seen: list[tuple[np.ndarray, np.ndarray]]
+    back: list[tuple[np.ndarray, np.ndarray]]
+    prior: list[np.ndarray]
     base: np.ndarray
-    bits: int = BITS
-    prior: float = 4.0
+    bits: int
+    order: int
 
     def ratio(self, words: list[str]) -> np.ndarray:
         """log p(word | toxic) - log p(word | ordinary)."""
-        owner, grams, contexts = ngram_cells(words, self.bits, len(self.counts[0]))
+        owner, grams, contexts = ngram_cells(words, self.bits, self.order)
         if not len(owner):
             return np.zeros(len(words))
-        shared = (self.base[grams[0]] + 0.5) / (self.base.sum() + 0.5 * 256)
-        ordinary = [shared] * len(grams)
-        for c in (0, 1):
-            p = shared
-            for n in range(1, len(grams)):
-                total = self.totals[c, n][contexts[n]].astype(np.float64)
-                seen = np.maximum(self.counts[c, n][grams[n]] - DISCOUNT, 0)
-                p = seen + DISCOUNT * np.minimum(self.kinds[c, n][contexts[n]], total) * p + np.where(total > 0, 0, p)
-                if c:  # toxic contexts are few: a rare one says little against what is ordinary there
-                    p = (p + self.prior * ordinary[n]) / (np.maximum(total, 1) + self.prior)
-                else:
-                    p = ordinary[n] = p / np.maximum(total, 1)
-        logs = [np.log(np.maximum(x, 1e-12)) for x in (p, ordinary[-1])]
-        return np.bincount(owner, logs[0] - logs[1], len(words))
+        ordinary = toxic = self.base[grams[0]].astype(np.float64)
+        for n in range(1, self.order):
+            g, c = grams[n], contexts[n]
+            ordinary = self.seen[n - 1][0][g] + self.back[n - 1][0][c] * ordinary
+            toxic = self.seen[n - 1][1][g] + self.back[n - 1][1][c] * toxic + self.prior[n - 1][c] * ordinary
+        return np.bincount(owner, np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12)), len(words))
 
 
 def count_cells(words: list[str], counts: np.ndarray, bits: int = BITS, order: int = ORDER) -> list[tuple[int, int, tuple[np.ndarray, ...]]]:
@@ -116,20 +115,33 @@ def count_cells(words: list[str], counts: np.ndarray, bits: int = BITS, order: i
     return out
 
 
-def build_model(cells: list[tuple[int, int, tuple[np.ndarray, ...]]], bits: int = BITS, order: int = ORDER) -> KneserNey:
+def build_model(cells: list[tuple[int, int, tuple[np.ndarray, ...]]], bits: int = BITS, order: int = ORDER, prior: float = PRIOR) -> KneserNey:
     """The tables from sparse sums in which no cell of a class and order comes twice."""
-    size = 1 << bits
-    counts, totals, kinds = (np.zeros((2, order, size), np.float32) for _ in range(3))
+    size = [1 << order_bits(n + 1, bits) for n in range(order)]
+    counts = [[np.zeros(k, np.float32) for k in size] for _ in range(2)]
     by = {(c, n): [np.concatenate(x) for x in zip(*(p for d, m, p in cells if (d, m) == (c, n)))] for c, n, _ in cells}
-    for (c, n), (cell, tokens, context, shorter, opens) in by.items():
+    for (c, n), (cell, tokens, _, shorter, opens) in by.items():
         if n == order - 1:
-            counts[c, n, cell] = tokens
+            counts[c][n][cell] = tokens
         if n:
-            counts[c, n - 1] += np.bincount(shorter, np.where(opens, tokens, 1), size).astype(np.float32)
-    for (c, n), (cell, _, context, *_) in by.items():
-        totals[c, n] = np.bincount(context, counts[c, n, cell], size)
-        kinds[c, n] = np.bincount(context, minlength=size)
-    return KneserNey(counts, totals, kinds, counts[0, 0] + counts[1, 0], bits)
+            counts[c][n - 1] += np.bincount(shorter, np.where(opens, tokens, 1), size[n - 1]).astype(np.float32)
+    shared = counts[0][0] + counts[1][0] + 0.5
+    seen, back, priors = [], [], []
+    for n in range(1, order):
+        pair, rest = [], []
+        for c in (0, 1):
+            cell, _, context, *_ = by.get((c, n)) or [np.zeros(0, np.int32)] * 5
+            total = np.bincount(context, counts[c][n][cell], size[n])
+            left = np.where(total > 0, DISCOUNT * np.minimum(np.bincount(context, minlength=size[n]), total), 1.0)
+            total = np.maximum(total, 1.0) + c * prior
+            mine = np.zeros(size[n], np.float32)
+            mine[cell] = np.maximum(counts[c][n][cell] - DISCOUNT, 0) / total[context]
+            pair.append(mine.astype(np.float16))
+            rest.append((left / total).astype(np.float16))
+        seen.append(tuple(pair))
+        back.append(tuple(rest))
+        priors.append((prior / total).astype(np.float16))
+    return KneserNey(seen, back, priors, (shared / shared.sum()).astype(np.float32), bits, order)
 
 
 def document_features(ratios: np.ndarray, lengths: np.ndarray) -> tuple[float, float, float, float]:
