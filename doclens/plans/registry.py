@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from doclens.plans.queries import ORACLE_SQL, QUERIES
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 
 
 def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
