@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from doclens.functions import chars as C
 from doclens.functions.script import detect_language
@@ -17,7 +18,7 @@ OWN_MARKUP = r"^\s*<!--|^\s*</?div\b|^\s*---\s*$"
 ROW = "struct<prev:int,open:boolean,out:array<string>>"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfc(s: pd.Series) -> pd.Series:
     return s.map(lambda t: t if t is None else unicodedata.normalize("NFC", t))
 

@@ -8,6 +8,7 @@ from html import escape
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 _SLIDE_COMMENT = re.compile(r"^<!-- Slide \d+ (?:notes|OCR) -->$")
 _ITEM = re.compile(r"^(\s*)(?:([-*+])|(\d{1,9})([.)]))\s+(.*)$")
@@ -142,12 +143,12 @@ def slide_notes_to_asides(html: Column, dir_: Column) -> Column:
     return F.when(dir_ == "rtl", rtl).otherwise(ltr)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _render(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else markdown_to_html(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _numbered(s: pd.Series) -> pd.Series:
     return s.map(lambda t: None if t is None else materialise_list_numbers(t))
 
