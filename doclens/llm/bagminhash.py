@@ -304,7 +304,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     candidates = buckets.join(hubs, ["band", "hash"]).select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
     families = connected_components(candidates, "families").select(F.col("id").alias("doc_id"), F.col("component").alias("family"))
     families = families.join(first.groupBy("doc_id").agg(F.sum("n_items").alias("n_items")), "doc_id")
-    links = verified_links(docs, families).where("a <> b")
+    links = materialise(verified_links(docs, families).where("a <> b"), "near-links")
     classes = connected_components(equal.unionByName(links), "classes").select(F.col("id").alias("linked"), "component")
     out = docs.select("doc_id").join(classes, F.col("doc_id") == F.col("linked"), "left")
     class_id = F.coalesce("component", "doc_id")
