@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -15,7 +16,6 @@ from doclens.functions.script import detect_language
 NUMBER = r"\d[\d,]*(?:\.\d+)?"
 FENCE = r"^\s*(```|~~~)"
 OWN_MARKUP = r"^\s*<!--|^\s*</?div\b|^\s*---\s*$"
-ROW = "struct<prev:int,open:boolean,out:array<string>>"
 
 
 @F.pandas_udf(StringType())
@@ -108,42 +108,54 @@ def mark_rtl_lines(markdown: Column) -> Column:
     return F.array_join(marked, "\n")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once: what stands inside a lambda is otherwise computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def promote_headings(markdown: Column) -> Column:
     """Wholly bold blocks become headings where the text has none, if short, no sentence, and followed by a body."""
-    blocks = F.split(markdown, r"\n{2,}")
     bold = lambda b: F.trim(F.regexp_extract(F.regexp_replace(b, f"^[{C.SPACE}]+|[{C.SPACE}]+$", ""), r"^\*\*([^*]+)\*\*$", 1))
 
-    def raised(block, i):
+    def raised(blocks, block, i):
         text, after = bold(block), F.coalesce(F.get(blocks, i + 1), F.lit(""))
         title = (text != "") & (F.length(text) <= 80) & ~text.rlike("[.!?]$") & (F.trim(after) != "") & (bold(after) == "")
         return F.when(title, F.concat(F.lit("## "), text)).otherwise(block)
 
-    return F.when(markdown.rlike(r"(?m)^#{1,6}\s"), markdown).otherwise(F.array_join(F.transform(blocks, raised), "\n\n"))
+    promoted = let(F.split(markdown, r"\n{2,}"), lambda blocks: F.array_join(F.transform(blocks, lambda x, i: raised(blocks, x, i)), "\n\n"))
+    return F.when(markdown.rlike(r"(?m)^#{1,6}\s"), markdown).otherwise(promoted)
 
 
 def preserve_numbering(markdown: Column) -> Column:
     """Numbered runs that a renderer would renumber get their delimiters escaped. Blank lines don't end a run; other
     lines and fences do. A number beyond a bigint makes its run irregular, so it is escaped."""
     numbered = r"^(\s*)(\d+)([.)])(?=\s)"
-    lines = F.split(markdown, "\n")
-    zipped = F.arrays_zip(lines.alias("l"), _fenced(lines).alias("f"))
-    entry = "struct<at:int,run:int,n:bigint>"
-    start = F.expr(f"CAST(named_struct('i', 0, 'run', 0, 'out', array()) AS struct<i:int,run:int,out:array<{entry}>>)")
+    entry = "struct<at:int,run:int>"
+    start = F.expr(f"CAST(named_struct('i', 0, 'run', 0, 'next', CAST(NULL AS bigint), 'empty', true, 'items', array(), 'odd', array()) AS struct<i:int,run:int,next:bigint,empty:boolean,items:array<{entry}>,odd:array<int>>)")
 
     def step(acc, x):
         hit = ~x["f"] & x["l"].rlike(numbered)
         ends = x["f"] | (~hit & (F.trim(x["l"]) != ""))
-        one = F.struct(acc["i"].alias("at"), acc["run"].alias("run"), F.regexp_extract(x["l"], numbered, 2).try_cast("bigint").alias("n"))
-        return F.struct((acc["i"] + 1).alias("i"), (acc["run"] + ends.cast("int")).alias("run"), F.when(hit, F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
-
-    items = F.aggregate(zipped, start, step, lambda acc: acc["out"])
-    # a run counts up by one from its first number if n - place is the same in all of it
-    indexed = F.transform(items, lambda x, k: F.struct(x["run"].alias("run"), x["at"].alias("at"), (x["n"] - k).alias("base")))
-    runs = F.array_distinct(F.transform(indexed, lambda x: x["run"]))
-    irregular = F.filter(runs, lambda r: F.size(F.array_distinct(F.transform(F.filter(indexed, lambda x: x["run"] == r), lambda x: x["base"]))) > 1)
-    unknown = F.transform(F.filter(indexed, lambda x: x["base"].isNull()), lambda x: x["run"])
-    escaped = F.transform(F.filter(indexed, lambda x: F.array_contains(irregular, x["run"]) | F.array_contains(unknown, x["run"])), lambda x: x["at"])
-    return F.array_join(F.transform(lines, lambda l, i: F.when(F.array_contains(escaped, i), F.regexp_replace(l, numbered, r"$1$2\\$3")).otherwise(l)), "\n")
+        n = F.regexp_extract(x["l"], numbered, 2).try_cast("bigint")
+        odd = hit & (n.isNull() | (~acc["empty"] & ~acc["next"].eqNullSafe(n)))
+        one = F.struct(acc["i"].alias("at"), acc["run"].alias("run"))
+        return F.struct(
+            (acc["i"] + 1).alias("i"),
+            (acc["run"] + ends.cast("int")).alias("run"),
+            F.when(hit & acc["empty"], F.try_add(n, F.lit(1))).when(hit, F.try_add(acc["next"], F.lit(1))).otherwise(acc["next"]).alias("next"),
+            (ends | (acc["empty"] & ~hit)).alias("empty"),
+            F.when(hit, F.concat(acc["items"], F.array(one))).otherwise(acc["items"]).alias("items"),
+            F.when(odd, F.concat(acc["odd"], F.array(acc["run"]))).otherwise(acc["odd"]).alias("odd"),
+        )
+
+    def escaped(zipped):
+        return F.aggregate(zipped, start, step, lambda acc: F.transform(F.filter(acc["items"], lambda x: F.array_contains(acc["odd"], x["run"])), lambda x: x["at"]))
+
+    def rewritten(lines, at):
+        return F.array_join(F.transform(lines, lambda l, i: F.when(F.array_contains(at, i), F.regexp_replace(l, numbered, r"$1$2\\$3")).otherwise(l)), "\n")
+
+    changed = let(F.split(markdown, "\n"), lambda lines: let(escaped(F.arrays_zip(lines.alias("l"), _fenced(lines).alias("f"))), lambda at: rewritten(lines, at)))
+    return F.when(markdown.rlike(r"(?m)^\s*\d+[.)]\s"), changed).otherwise(markdown)
 
 
 def json_string(value: Column) -> Column:

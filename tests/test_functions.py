@@ -70,3 +70,9 @@ def test_normalise(spark):
     assert one(spark, T.digest, "a b") == one(spark, T.digest, "*a*\tb")
     assert one(spark, T.number_tokens, "in 2024, 1,300.50 and 7") == ["2024,", "1,300.50", "7"]
     assert one(spark, T.normalise, None) is None
+
+
+def test_numbering_of_huge_numbers(spark):
+    huge = "9223372036854775807. a\n9223372036854775808. b"
+    assert one(spark, T.preserve_numbering, huge) == huge.replace(". ", "\\. ")
+    assert one(spark, T.preserve_numbering, "9223372036854775807. a") == "9223372036854775807. a"
