@@ -240,8 +240,9 @@ def test_pipeline(spark, tmp_path):
     w = good[3][1].split()
     near = (501, " ".join([*w[:40], "changed", *w[41:]]))
     leak = (503, f"{' '.join(words(rng, 30))} {item[0][1]} {' '.join(words(rng, 9))} {item[1][1]}")
+    one_item = (507, f"{' '.join(words(rng, 40))} {item[2][1]}. {' '.join(words(rng, 20))}")
     copy = (505, good[5][1])
-    rows = [(i, t, "en", "s", len(t)) for i, t in [*good, *junk, near, leak, copy]]
+    rows = [(i, t, "en", "s", len(t)) for i, t in [*good, *junk, near, leak, one_item, copy]]
     spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, int(not i % 2), 0) for i, *_ in good + junk], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
     spark.createDataFrame(item, "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
