@@ -8,6 +8,7 @@ re-read and no recomputation. Where the setting is absent (tests, a laptop) a te
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -40,8 +41,9 @@ def _remove_all() -> None:
         try:
             p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session may already be gone
-            continue
+        except Exception:  # the session may already be gone; then only a folder of this machine can go
+            if path.startswith("file://"):
+                shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
 atexit.register(_remove_all)

@@ -159,6 +159,17 @@ class Scorer:
         self.model, self.size, self.known = model, size, {}
 
     def features(self, texts: list[str | None]) -> np.ndarray:
+        out, at = np.zeros((len(texts), 4)), 0
+        while at < len(texts):  # the words of some 2 million characters at once
+            end, chars = at, 0
+            while end < len(texts) and chars < 2_000_000:
+                chars += len(texts[end] or "")
+                end += 1
+            self._fill(texts[at:end], out[at:end])
+            at = end
+        return out
+
+    def _fill(self, texts: list[str | None], out: np.ndarray) -> None:
         split = [words_of(t) for t in texts]
         if len(self.known) > self.size:
             self.known.clear()
@@ -167,12 +178,10 @@ class Scorer:
         for i in range(0, len(new), 20_000):
             part = new[i : i + 20_000]
             known.update(zip(part, self.model.ratio(part).tolist()))
-        out = np.zeros((len(texts), 4))
         for i, ws in enumerate(split):
             if ws:
                 r = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
                 out[i] = document_features(r, np.fromiter(map(len, ws), np.float64, len(ws)) + 1)
-        return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
