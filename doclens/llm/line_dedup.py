@@ -8,8 +8,8 @@ leaves the least hashes of nearly all bins as they are; lines of fewer than 80 u
 kinds, and any two lines of a similarity of 0.8 have one in common.
 
 In a bucket, every line is compared with the bucket's first line and with the one before it, in an order of each
-band's own, so pairs grow with the lines and not with their square; the Jaccard similarity of the whole shingle sets
-decides. Linked lines are joined by distributed union-find, and of each component the first occurrence by doc_id and
+band's own, so pairs grow with the lines and not with their square. Pairs of which too few bins agree are dropped; for
+the others the Jaccard similarity of the whole shingle sets decides. Linked lines are joined by distributed union-find, and of each component the first occurrence by doc_id and
 place stays.
 """
 
@@ -24,7 +24,7 @@ from doclens.llm.store import materialise
 
 SHINGLE = 8
 THRESHOLD = 0.8
-BINS, ROWS = 24, 3  # 8 bands of 3: at 0.8 a pair shares a bucket with probability 0.997, at 0.3 with 0.2
+BINS, ROWS, LANES, LEAST_BINS = 24, 3, 6, 11  # 8 bands of 3: at 0.8 a pair shares a bucket with probability 0.997, at 0.3 with 0.2
 ALL_BELOW, SOME_FROM = 80, 64  # shingles; their ratio is THRESHOLD
 SMALL_KEYS, SMALL_ROWS = 2_000_000, 500_000  # of 8 bytes; of a document with its dropped places
 
@@ -70,20 +70,34 @@ def signatures(lines: DataFrame) -> DataFrame:
         own = [F.col(f"b{b + r}") for r in range(ROWS)]
         # a band without any shingle says nothing
         bands.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), "kind", *(F.coalesce(x, F.lit(0)) for x in own))))
-    return bins.select("key", F.array_compact(F.array(*bands)).alias("buckets"))
+    # seven bits of each bin in a byte of its own, six bins a number; 127 for an empty bin
+    lane = lambda b: F.shiftleft(F.coalesce(F.col(f"b{b}") % 127, F.lit(127)).cast("bigint"), 8 * (b % LANES))
+    sketch = [F.expr("+".join(f"l{b}" for b in range(k, k + LANES))).alias(f"s{k // LANES}") for k in range(0, BINS, LANES)]
+    rows = bins.select("key", F.array_compact(F.array(*bands)).alias("buckets"), *(lane(b).alias(f"l{b}") for b in range(BINS)))
+    return rows.select("key", "buckets", *sketch)
+
+
+def _agreeing(x: Column, y: Column) -> Column:
+    """How many bins of two sketches are equal: a byte of the exclusive or is zero there."""
+    sevens = int("7f" * LANES, 16)
+    differ = [F.bit_count((x[f"s{k}"].bitwiseXOR(y[f"s{k}"]) + F.lit(sevens)).bitwiseAND(F.lit(int("80" * LANES, 16)))) for k in range(BINS // LANES)]
+    return F.lit(BINS) - sum(differ[1:], differ[0])
 
 
 def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """a, b: each line of a bucket with the bucket's first and with its neighbour."""
+    """a, b: each line of a bucket with the bucket's first and with its neighbour, if enough bins agree. Of 24 bins
+    fewer than LEAST_BINS do at a similarity of 0.8 once in some 20,000 pairs."""
     kept = materialise(signatures(lines), "line-signatures")
-    each = kept.select("key", F.explode("buckets").alias("bucket"))
+    sketch = [f"s{k}" for k in range(BINS // LANES)]
+    each = kept.select("key", F.explode("buckets").alias("bucket"), *sketch)
     shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
     shared = materialise(shared, "line-buckets")
-    members = each.join(_small(shared, SMALL_KEYS), "bucket", "left_semi").distinct()
-    order = Window.partitionBy("bucket").orderBy(F.xxhash64("key", "bucket"), "key")
-    placed = members.select("key", F.first("key").over(order).alias("hub"), F.lag("key").over(order).alias("before"))
-    pairs = placed.select(F.col("key").alias("x"), F.explode(F.array("hub", "before")).alias("y")).where("x <> y")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    members = each.join(_small(shared, SMALL_KEYS), "bucket", "left_semi").select("bucket", F.struct("key", *sketch).alias("m"))
+    order = Window.partitionBy("bucket").orderBy(F.xxhash64("m.key", "bucket"), "m.key")
+    placed = members.select("m", F.first("m").over(order).alias("hub"), F.lag("m").over(order).alias("before"))
+    pairs = placed.select("m", F.explode(F.array("hub", "before")).alias("o")).where(F.col("m.key") != F.col("o.key"))
+    pairs = pairs.where(_agreeing(F.col("m"), F.col("o")) >= LEAST_BINS)
+    return pairs.select(F.least("m.key", "o.key").alias("a"), F.greatest("m.key", "o.key").alias("b")).distinct()
 
 
 def verified_pairs(lines: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
