@@ -48,11 +48,11 @@ def _shingle_count(units: Column) -> Column:
     return F.greatest((F.length(units) / 4).cast("int") - (SHINGLE - 1), F.lit(1))
 
 
-def shingle_set(units: Column) -> Column:
-    """The distinct hashes of the shingles of a line in UTF-32; of a line shorter than one, of all of it. units must be
-    a stored column: an expression here would be evaluated again for each shingle."""
-    hashes = F.transform(F.sequence(F.lit(0), _shingle_count(units) - 1), lambda i: F.xxhash64(F.substring(units, i * 4 + 1, F.lit(SHINGLE * 4))))
-    return F.array_distinct(hashes)
+def shingles(norm: Column) -> Column:
+    """The shingles of a line, repeats included; of a line shorter than one, all of it. One regular expression finds
+    them all: a lookahead at each place, but not inside a surrogate pair."""
+    found = F.regexp_extract_all(norm, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))" % SHINGLE), F.lit(1))
+    return F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(found)
 
 
 def signatures(lines: DataFrame) -> DataFrame:
@@ -104,14 +104,12 @@ def verified_pairs(lines: DataFrame, pairs: DataFrame, threshold: float = THRESH
     """The pairs whose shingle sets have a Jaccard similarity of threshold or more."""
     wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys")
     texts = lines.select("key", "norm").join(_small(wanted, SMALL_KEYS), "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm"))
-    # four bytes a character: any shingle is found at once
-    texts = materialise(texts.select("key", F.encode("norm", "UTF-32").alias("units")), "line-units")
-    texts = materialise(texts.withColumn("n", F.size(shingle_set(F.col("units")))), "line-texts")
-    side = lambda k, x: texts.select(F.col("key").alias(k), F.col("units").alias(x), F.col("n").alias(f"n_{x}"))
+    texts = materialise(texts.withColumn("n", F.size(F.array_distinct(shingles(F.col("norm"))))), "line-texts")
+    side = lambda k, x: texts.select(F.col("key").alias(k), F.col("norm").alias(x), F.col("n").alias(f"n_{x}"))
     sides = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     # sets whose sizes differ by more cannot overlap by threshold
     near = sides.where(F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y"))
-    common = near.select("a", "b", F.size(F.array_intersect(shingle_set(F.col("x")), shingle_set(F.col("y")))).alias("c"), (F.col("n_x") + F.col("n_y")).alias("total"))
+    common = near.select("a", "b", F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y")))).alias("c"), (F.col("n_x") + F.col("n_y")).alias("total"))
     return common.where(F.col("c") >= threshold * (F.col("total") - F.col("c")) - 1e-9).select("a", "b")
 
 
