@@ -7,9 +7,13 @@ Bins go in bands of ``ROWS``. Lines of at least 64 shingles use a quarter of the
 leaves the least hashes of nearly all bins as they are; lines of fewer than 80 use all; so lines between have both
 kinds, and any two lines of a similarity of 0.8 have one in common.
 
-In a bucket, every line is compared with the bucket's first line and with the one before it, in an order of each
-band's own, so pairs grow with the lines and not with their square. Pairs of which too few bins agree are dropped; for
-the others the Jaccard similarity of the whole shingle sets decides. Linked lines are joined by distributed union-find, and of each component the first occurrence by doc_id and
+Every pair that shares a bucket is compared, unless its lines are known to be joined already. First, every line is
+compared with the bucket's first line and with the one before it, in an order of each band's own, which joins most
+groups; then, in the buckets that still hold several groups, all pairs of different groups. Large buckets are cut into
+blocks, and each pair of blocks is compared by a task's join. Each line has a bitmap of ``WORDS`` * 64 bits of its
+shingles' hashes: bitmaps differ in no more bits than the sets do in shingles, so pairs whose bitmaps differ in more
+than the threshold allows are left out without loss; for the others the Jaccard similarity of the whole shingle sets
+decides. Linked lines are joined by distributed union-find, and of each component the first occurrence by doc_id and
 place stays.
 """
 
@@ -24,8 +28,10 @@ from doclens.llm.store import materialise
 
 SHINGLE = 8
 THRESHOLD = 0.8
-BINS, ROWS, LANES, LEAST_BINS = 24, 3, 6, 11  # 8 bands of 3: at 0.8 a pair shares a bucket with probability 0.997, at 0.3 with 0.2
+BINS, ROWS = 24, 3  # 8 bands of 3: at 0.8 a pair shares a bucket with probability 0.997, at 0.3 with 0.2
 ALL_BELOW, SOME_FROM = 80, 64  # shingles; their ratio is THRESHOLD
+WORDS = 16  # of 64 bits, in a bitmap
+BLOCK = 256  # lines of a bucket that are compared at once
 SMALL_KEYS, SMALL_ROWS = 2_000_000, 500_000  # of 8 bytes; of a document with its dropped places
 
 
@@ -70,47 +76,75 @@ def signatures(lines: DataFrame) -> DataFrame:
         own = [F.col(f"b{b + r}") for r in range(ROWS)]
         # a band without any shingle says nothing
         bands.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), "kind", *(F.coalesce(x, F.lit(0)) for x in own))))
-    # seven bits of each bin in a byte of its own, six bins a number; 127 for an empty bin
-    lane = lambda b: F.shiftleft(F.coalesce(F.col(f"b{b}") % 127, F.lit(127)).cast("bigint"), 8 * (b % LANES))
-    sketch = [F.expr("+".join(f"l{b}" for b in range(k, k + LANES))).alias(f"s{k // LANES}") for k in range(0, BINS, LANES)]
-    rows = bins.select("key", F.array_compact(F.array(*bands)).alias("buckets"), *(lane(b).alias(f"l{b}") for b in range(BINS)))
-    return rows.select("key", "buckets", *sketch)
-
-
-def _agreeing(x: Column, y: Column) -> Column:
-    """How many bins of two sketches are equal: a byte of the exclusive or is zero there."""
-    sevens = int("7f" * LANES, 16)
-    differ = [F.bit_count((x[f"s{k}"].bitwiseXOR(y[f"s{k}"]) + F.lit(sevens)).bitwiseAND(F.lit(int("80" * LANES, 16)))) for k in range(BINS // LANES)]
-    return F.lit(BINS) - sum(differ[1:], differ[0])
-
-
-def candidate_pairs(lines: DataFrame) -> DataFrame:
-    """a, b: each line of a bucket with the bucket's first and with its neighbour, if enough bins agree. Of 24 bins
-    fewer than LEAST_BINS do at a similarity of 0.8 once in some 20,000 pairs."""
-    kept = materialise(signatures(lines), "line-signatures")
-    sketch = [f"s{k}" for k in range(BINS // LANES)]
-    each = kept.select("key", F.explode("buckets").alias("bucket"), *sketch)
-    shared = each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    shared = materialise(shared, "line-buckets")
-    members = each.join(_small(shared, SMALL_KEYS), "bucket", "left_semi").select("bucket", F.struct("key", *sketch).alias("m"))
+    return bins.select("key", F.array_compact(F.array(*bands)).alias("buckets"))
+
+
+def bitmaps(texts: DataFrame) -> DataFrame:
+    """key, n (different shingles), w0, w1, ...: a bit for each shingle's hash; texts: key, norm."""
+    each = texts.select("key", F.explode(F.array_distinct(shingles(F.col("norm")))).alias("s")).select("key", F.xxhash64("s").alias("h"))
+    each = each.select("key", F.expr(f"CAST(shiftrightunsigned(h, 6) & {WORDS - 1} AS INT)").alias("word"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
+    words = (F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(WORDS))
+    return each.groupBy("key").agg(F.count("*").alias("n"), *words)
+
+
+def _may_link(x: Column, y: Column, threshold: float) -> Column:
+    """False only if the similarity is below threshold: sets that overlap by it differ in at most so many shingles."""
+    differ = [F.bit_count(x[f"w{w}"].bitwiseXOR(y[f"w{w}"])) for w in range(WORDS)]
+    return sum(differ[1:], differ[0]) <= (x["n"] + y["n"]) * ((1 - threshold) / (1 + threshold)) + 1e-6
+
+
+def _pair(x: Column, y: Column) -> list[Column]:
+    return [F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b"), (x["n"] + y["n"]).alias("total")]
+
+
+def first_pairs(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, total: each line of a bucket with the bucket's first and with its neighbour; members: bucket, m."""
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("m.key", "bucket"), "m.key")
     placed = members.select("m", F.first("m").over(order).alias("hub"), F.lag("m").over(order).alias("before"))
     pairs = placed.select("m", F.explode(F.array("hub", "before")).alias("o")).where(F.col("m.key") != F.col("o.key"))
-    pairs = pairs.where(_agreeing(F.col("m"), F.col("o")) >= LEAST_BINS)
-    return pairs.select(F.least("m.key", "o.key").alias("a"), F.greatest("m.key", "o.key").alias("b")).distinct()
+    return pairs.where(_may_link(F.col("m"), F.col("o"), threshold)).select(*_pair(F.col("m"), F.col("o"))).distinct()
+
+
+def other_pairs(members: DataFrame, components: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, total: all pairs of a bucket that are in different components(key, component)."""
+    rooted = members.select("bucket", "m", F.col("m.key").alias("key")).join(_small(components, SMALL_KEYS), "key", "left")
+    rooted = materialise(rooted.select("bucket", "m", F.coalesce("component", "key").alias("root")), "line-rooted")
+    mixed = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    mixed = materialise(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "line-mixed")
+    dealt = rooted.join(_small(mixed, SMALL_KEYS), "bucket").withColumn("block", F.pmod(F.xxhash64("m.key"), F.col("blocks")).cast("int"))
+    side = lambda m, first, last: dealt.select("bucket", F.col("m").alias(m), F.col("root").alias(f"{m}_root"), F.explode(F.sequence(first, last)).alias("other"), "block")
+    left = side("x", F.col("block"), F.col("blocks") - 1).withColumnsRenamed({"block": "i", "other": "j"})
+    right = side("y", F.lit(0), F.col("block")).withColumnsRenamed({"block": "j", "other": "i"})
+    apart = (F.col("x_root") != F.col("y_root")) & ((F.col("i") < F.col("j")) | (F.col("x.key") < F.col("y.key")))
+    pairs = left.join(right, ["bucket", "i", "j"]).where(apart & _may_link(F.col("x"), F.col("y"), threshold))
+    return pairs.select(*_pair(F.col("x"), F.col("y"))).distinct()
+
+
+def verified_pairs(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b of the pairs(a, b, total) whose shingle sets have a Jaccard similarity of threshold or more; total is the
+    sum of their sizes; texts: key, norm."""
+    side = lambda k, x: texts.select(F.col("key").alias(k), F.col("norm").alias(x))
+    sides = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    common = sides.select("a", "b", "total", F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y")))).alias("c"))
+    return common.where(F.col("c") >= threshold * (F.col("total") - F.col("c")) - 1e-9).select("a", "b")
 
 
-def verified_pairs(lines: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The pairs whose shingle sets have a Jaccard similarity of threshold or more."""
-    wanted = materialise(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct(), "line-keys")
+def links_between(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b: links that join all lines that a chain of similar pairs joins, each pair in a common bucket."""
+    each = signatures(lines).select("key", F.explode("buckets").alias("bucket"))
+    each = materialise(each, "line-bands")
+    shared = materialise(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "line-buckets")
+    members = materialise(each.join(_small(shared, SMALL_KEYS), "bucket", "left_semi"), "line-members")
+    wanted = materialise(members.select("key").distinct(), "line-keys")
     texts = lines.select("key", "norm").join(_small(wanted, SMALL_KEYS), "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm"))
-    texts = materialise(texts.withColumn("n", F.size(F.array_distinct(shingles(F.col("norm"))))), "line-texts")
-    side = lambda k, x: texts.select(F.col("key").alias(k), F.col("norm").alias(x), F.col("n").alias(f"n_{x}"))
-    sides = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    # sets whose sizes differ by more cannot overlap by threshold
-    near = sides.where(F.least("n_x", "n_y") >= threshold * F.greatest("n_x", "n_y"))
-    common = near.select("a", "b", F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y")))).alias("c"), (F.col("n_x") + F.col("n_y")).alias("total"))
-    return common.where(F.col("c") >= threshold * (F.col("total") - F.col("c")) - 1e-9).select("a", "b")
+    texts = materialise(texts, "line-texts")
+    marks = materialise(bitmaps(texts), "line-bitmaps")
+    members = members.join(marks, "key").select("bucket", F.struct(*marks.columns).alias("m"))
+    members = materialise(members, "line-marked")
+    links = materialise(verified_pairs(texts, materialise(first_pairs(members, threshold), "line-pairs"), threshold), "line-links")
+    components = connected_components(links, "line-groups").withColumnRenamed("id", "key")
+    more = verified_pairs(texts, materialise(other_pairs(members, components, threshold), "line-pairs"), threshold)
+    return links.unionByName(materialise(more, "line-links"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -123,8 +157,7 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     table gives none. Lines are told apart by 64 bits of hash."""
     lines = _lines(docs)
     places = materialise(lines.select("doc_id", "row", "ix", "key"), "line-places")
-    links = materialise(verified_pairs(lines, materialise(candidate_pairs(lines), "line-pairs"), threshold), "line-links")
-    components = connected_components(links, "lines").withColumnRenamed("id", "key")
+    components = connected_components(links_between(lines, threshold), "lines").withColumnRenamed("id", "key")
     grouped = places.join(_small(components, SMALL_KEYS), "key", "left").select("doc_id", "row", "ix", F.coalesce("component", "key").alias("line"))
     place = F.struct("doc_id", "row", "ix")
     first = grouped.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first")
