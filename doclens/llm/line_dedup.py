@@ -3,9 +3,11 @@
 A line, lower-cased and trimmed, is the set of its shingles of ``SHINGLE`` characters. Its signature takes each
 shingle's hash once: the hash picks one of ``BINS`` bins and the least hash of each bin is kept (one-permutation
 MinHash). Shingles are generated and reduced within one stage; only a signature for each different line is shuffled.
-Bins go in bands of ``ROWS``. Lines of at least 64 shingles use a quarter of them, the same quarter everywhere, which
-leaves the least hashes of nearly all bins as they are; lines of fewer than 80 use all; so lines between have both
-kinds, and any two lines of a similarity of 0.8 have one in common.
+Bins go in bands of ``ROWS``. A quarter of the shingles, the same quarter everywhere, leaves the least hashes of nearly
+all bins of a long line as they are. Every line has a signature of its quarter, if that holds any; lines of fewer than
+``ALL_BELOW`` places, and longer ones whose quarter fills fewer than ``FILLED`` bins (rulers, repeated words), have one
+of all their shingles, too. So every line has a band, and two lines of a similarity of 0.8 have a kind of signature in
+common, unless ``FILLED`` bins of one are filled by shingles that the other lacks and nothing of that other is sampled.
 
 Every pair that shares a bucket is compared, unless its lines are known to be joined already. First, every line is
 compared with the bucket's first line and with the one before it, in an order of each band's own, which joins most
@@ -29,8 +31,8 @@ from doclens.llm.store import materialise
 SHINGLE = 8
 THRESHOLD = 0.8
 BINS, ROWS = 24, 3  # 8 bands of 3: at 0.8 a pair shares a bucket with probability 0.997, at 0.3 with 0.2
-ALL_BELOW, SOME_FROM = 80, 64  # shingles; their ratio is THRESHOLD
-WORDS = 16  # of 64 bits, in a bitmap
+ALL_BELOW, FILLED = 80, 12  # places; bins
+WORDS = 8  # of 64 bits, in a bitmap
 BLOCK = 256  # lines of a bucket that are compared at once
 SMALL_KEYS, SMALL_ROWS = 2_000_000, 500_000  # of 8 bytes; of a document with its dropped places
 
@@ -61,22 +63,34 @@ def shingles(norm: Column) -> Column:
     return F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(found)
 
 
-def signatures(lines: DataFrame) -> DataFrame:
-    """key, buckets array<bigint> for each different line and kind of signature; lines: key, norm."""
-    units = lines.select("key", F.encode("norm", "UTF-32").alias("units")).withColumn("n", _shingle_count(F.col("units")))
-    kinds = F.when(F.col("n") < SOME_FROM, F.array(F.lit(0))).when(F.col("n") < ALL_BELOW, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(1)))
-    each = units.select("key", "units", "n", F.explode(kinds).alias("kind"))
-    each = each.select("key", "units", "kind", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    each = each.select("key", "kind", F.xxhash64(F.substring("units", F.col("i") * 4 + 1, F.lit(SHINGLE * 4))).alias("h"))
-    each = each.where((F.col("kind") == 0) | (F.shiftrightunsigned("h", 62) == 0))
-    each = each.select("key", "kind", F.pmod("h", F.lit(BINS)).cast("int").alias("bin"), F.shiftrightunsigned("h", 33).cast("int").alias("v"))
-    bins = each.groupBy("key", "kind").agg(*(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"b{b}") for b in range(BINS)))
+def _bins(lines: DataFrame, kind: int) -> DataFrame:
+    """key, n, b0, b1, ...: the least hash in each bin, of a quarter of the shingles (kind 1) or of all (kind 0)."""
+    each = lines.select("key", F.encode("norm", "UTF-32").alias("units")).withColumn("n", _shingle_count(F.col("units")))
+    each = each.select("key", "units", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
+    each = each.select("key", "n", F.xxhash64(F.substring("units", F.col("i") * 4 + 1, F.lit(SHINGLE * 4))).alias("h"))
+    each = each.where(F.shiftrightunsigned("h", 62) == 0) if kind else each
+    each = each.select("key", "n", F.pmod("h", F.lit(BINS)).cast("int").alias("bin"), F.shiftrightunsigned("h", 33).cast("int").alias("v"))
+    return each.groupBy("key").agg(F.max("n").alias("n"), *(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"b{b}") for b in range(BINS)))
+
+
+def _buckets(bins: DataFrame, kind: int) -> DataFrame:
     bands = []
     for b in range(0, BINS, ROWS):
         own = [F.col(f"b{b + r}") for r in range(ROWS)]
         # a band without any shingle says nothing
-        bands.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), "kind", *(F.coalesce(x, F.lit(0)) for x in own))))
-    return bins.select("key", F.array_compact(F.array(*bands)).alias("buckets"))
+        bands.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), F.lit(kind), *(F.coalesce(x, F.lit(0)) for x in own))))
+    filled = sum((F.col(f"b{b}").isNotNull().cast("int") for b in range(1, BINS)), F.col("b0").isNotNull().cast("int"))
+    return bins.select("key", F.array_compact(F.array(*bands)).alias("buckets"), ((F.col("n") >= ALL_BELOW) & (filled >= FILLED)).alias("enough"))
+
+
+def signatures(lines: DataFrame) -> DataFrame:
+    """key, buckets array<bigint> for each different line and kind of signature; lines: key, norm."""
+    some = materialise(_buckets(_bins(lines, 1), 1), "line-signatures")
+    # short lines, lines whose quarter says little, and lines with nothing in it
+    enough = some.where("enough").select("key")
+    rest = lines.select("key", "norm").join(_small(enough, SMALL_KEYS), "key", "left_anti")
+    rest = materialise(_buckets(_bins(rest, 0), 0).select("key", "buckets"), "line-signatures")
+    return some.select("key", "buckets").unionByName(rest)
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
@@ -105,13 +119,14 @@ def first_pairs(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.where(_may_link(F.col("m"), F.col("o"), threshold)).select(*_pair(F.col("m"), F.col("o"))).distinct()
 
 
-def other_pairs(members: DataFrame, components: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, total: all pairs of a bucket that are in different components(key, component)."""
-    rooted = members.select("bucket", "m", F.col("m.key").alias("key")).join(_small(components, SMALL_KEYS), "key", "left")
-    rooted = materialise(rooted.select("bucket", "m", F.coalesce("component", "key").alias("root")), "line-rooted")
+def other_pairs(members: DataFrame, marks: DataFrame, components: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """a, b, total: all pairs of a bucket that are in different components(key, component); members: bucket, key."""
+    rooted = members.join(_small(components, SMALL_KEYS), "key", "left")
+    rooted = materialise(rooted.select("bucket", "key", F.coalesce("component", "key").alias("root")), "line-rooted")
     mixed = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
     mixed = materialise(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "line-mixed")
-    dealt = rooted.join(_small(mixed, SMALL_KEYS), "bucket").withColumn("block", F.pmod(F.xxhash64("m.key"), F.col("blocks")).cast("int"))
+    dealt = rooted.join(_small(mixed, SMALL_KEYS), "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = dealt.join(marks, "key").select("bucket", "root", "blocks", "block", F.struct(*marks.columns).alias("m"))
     side = lambda m, first, last: dealt.select("bucket", F.col("m").alias(m), F.col("root").alias(f"{m}_root"), F.explode(F.sequence(first, last)).alias("other"), "block")
     left = side("x", F.col("block"), F.col("blocks") - 1).withColumnsRenamed({"block": "i", "other": "j"})
     right = side("y", F.lit(0), F.col("block")).withColumnsRenamed({"block": "j", "other": "i"})
@@ -132,18 +147,16 @@ def verified_pairs(texts: DataFrame, pairs: DataFrame, threshold: float = THRESH
 def links_between(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: links that join all lines that a chain of similar pairs joins, each pair in a common bucket."""
     each = signatures(lines).select("key", F.explode("buckets").alias("bucket"))
-    each = materialise(each, "line-bands")
     shared = materialise(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "line-buckets")
     members = materialise(each.join(_small(shared, SMALL_KEYS), "bucket", "left_semi"), "line-members")
     wanted = materialise(members.select("key").distinct(), "line-keys")
     texts = lines.select("key", "norm").join(_small(wanted, SMALL_KEYS), "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm"))
     texts = materialise(texts, "line-texts")
     marks = materialise(bitmaps(texts), "line-bitmaps")
-    members = members.join(marks, "key").select("bucket", F.struct(*marks.columns).alias("m"))
-    members = materialise(members, "line-marked")
-    links = materialise(verified_pairs(texts, materialise(first_pairs(members, threshold), "line-pairs"), threshold), "line-links")
+    marked = members.join(marks, "key").select("bucket", F.struct(*marks.columns).alias("m"))
+    links = materialise(verified_pairs(texts, materialise(first_pairs(marked, threshold), "line-pairs"), threshold), "line-links")
     components = connected_components(links, "line-groups").withColumnRenamed("id", "key")
-    more = verified_pairs(texts, materialise(other_pairs(members, components, threshold), "line-pairs"), threshold)
+    more = verified_pairs(texts, materialise(other_pairs(members, marks, components, threshold), "line-pairs"), threshold)
     return links.unionByName(materialise(more, "line-links"))
 
 

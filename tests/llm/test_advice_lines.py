@@ -35,3 +35,10 @@ def test_groups_that_share_buckets(frame):
 def test_blocks_of_a_bucket(frame, monkeypatch):
     monkeypatch.setattr(line_dedup, "BLOCK", 16)
     test_groups_that_share_buckets(frame)
+
+
+def test_few_different_shingles(frame):
+    texts = ["=" * 60, "=" * 100, "| --- " * 8, "| --- " * 20, "der " * 25, "der " * 30]
+    texts += [c * n for c in "-_*.~#+" for n in (90, 120)]
+    got = {r.doc_id for r in line_dedup.dedup_lines(frame(texts)).collect() if r.n_kept_lines}
+    assert got == kept_lines(texts) == set(range(0, len(texts), 2))
