@@ -9,9 +9,11 @@ probability at the same order, so an expression that neither class has seen ofte
 suspect words. A logistic regression on these four, fitted on training documents that the counts have not seen,
 makes a probability of them.
 
-Counts come from every labelled training document: words are counted by class with partial aggregation, and each
-partition of the words sends its character n-gram counts, hashed to ``2**bits`` cells an order at most (fewer for low
-orders). So the model's size is fixed however large the corpus is, some 26 MB; n-grams that share a cell share counts.
+Counts come from every labelled document that may be learnt from: words are counted by class with partial aggregation,
+each partition of the words sends its character n-gram counts, and the counts of each n-gram are summed up. N-grams are
+told apart by 64 bits of hash, each with its own context and shorter n-gram, so the model grows with the different
+n-grams of the labelled documents. It is put together on the driver and broadcast. The logistic regression is fitted on
+ratios of a model without the fold of the documents it is fitted on; the scores come from a model of all folds.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 6
-BITS = 20
+BITS = 64  # of an n-gram's hash
 DISCOUNT = 0.75
 PRIOR = 4.0
 SMALL = 2_000_000  # label rows that may be broadcast: about 50 MB
@@ -34,11 +36,6 @@ _WORD = re.compile(r"\w+").findall
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def order_bits(n: int, bits: int) -> int:
-    """Table size of order n: there are few n-grams of one or two characters."""
-    return min(bits, 3 * n + 7)
-
-
 def words_of(text: str | None) -> list[str]:
     return _WORD(text.lower()) if text else []
 
@@ -49,7 +46,7 @@ def _codes(word: str) -> np.ndarray:
 
 
 def ngram_cells(words: list[str], bits: int = BITS, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each predicted character of the words: the index of its word; by order 1..order the cell of the n-gram,
+    """For each predicted character of the words: the index of its word; by order 1..order the hash of the n-gram,
     and of its context. Where a word is too short for an order the longer context begins with blanks."""
     codes = [_codes(w) for w in words]
     owner = np.repeat(np.arange(len(words)), [len(c) - 1 for c in codes])
@@ -58,31 +55,46 @@ def ngram_cells(words: list[str], bits: int = BITS, order: int = ORDER) -> tuple
     if not len(owner):
         return owner, grams, contexts
     # all words in one row, order-1 blanks before each; then every shift is a slice
+    shift = np.uint64(64 - bits)
     pad = np.zeros(order - 1, np.uint64)
     flat = np.concatenate([x for c in codes for x in (pad, c)])
     start = np.cumsum([0] + [len(c) + order - 1 for c in codes[:-1]]) + order - 1
     at = np.concatenate([np.arange(s + 1, s + len(c)) for s, c in zip(start, codes)])
     context = np.zeros(len(at), np.uint64)
     for n in range(1, order + 1):
-        shift = np.uint64(64 - order_bits(n, bits))
         if n > 1:
             context = (context ^ (flat[at - (n - 1)] + np.uint64(n * 1_000_003))) * _MIX
             context ^= context >> np.uint64(29)
-        contexts[n - 1] = ((context + np.uint64(n)) * _MIX) >> shift
-        grams[n - 1] = (((context ^ (flat[at] * np.uint64(0xC2B2AE3D27D4EB4F))) + np.uint64(n)) * _MIX) >> shift
+        contexts[n - 1] = (((context + np.uint64(n)) * _MIX) >> shift).view(np.int64)
+        grams[n - 1] = ((((context ^ (flat[at] * np.uint64(0xC2B2AE3D27D4EB4F))) + np.uint64(n)) * _MIX) >> shift).view(np.int64)
     return owner, grams, contexts
 
 
+@dataclass
+class Table:
+    """Values by sorted key; each column has one value more, for keys that are not there."""
+
+    keys: np.ndarray
+    columns: tuple[np.ndarray, ...]
+
+    def find(self, x: np.ndarray) -> list[np.ndarray]:
+        n = len(self.keys)
+        at = np.searchsorted(self.keys, x)
+        if n:
+            at[self.keys[np.minimum(at, n - 1)] != x] = n
+        return [c[at] for c in self.columns]
+
+
 @dataclass
 class KneserNey:
     """Interpolation tables by order - 1, from the second on: p(character | context) is seen[gram] + back[context] *
     the probability of the next lower order, and for the toxic class + prior[context] * the ordinary probability of
-    the same order. base: the shared probability by unigram cell."""
+    the same order. seen: ordinary, toxic; rest: back of the ordinary and of the toxic class, prior. base: the shared
+    probability by unigram."""
 
-    seen: list[tuple[np.ndarray, np.ndarray]]
-    back: list[tuple[np.ndarray, np.ndarray]]
-    prior: list[np.ndarray]
-    base: np.ndarray
+    seen: list[Table]
+    rest: list[Table]
+    base: Table
     bits: int
     order: int
 
@@ -91,21 +103,22 @@ class KneserNey:
         owner, grams, contexts = ngram_cells(words, self.bits, self.order)
         if not len(owner):
             return np.zeros(len(words))
-        ordinary = toxic = self.base[grams[0]].astype(np.float64)
+        ordinary = toxic = self.base.find(grams[0])[0].astype(np.float64)
         for n in range(1, self.order):
-            g, c = grams[n], contexts[n]
-            ordinary = self.seen[n - 1][0][g] + self.back[n - 1][0][c] * ordinary
-            toxic = self.seen[n - 1][1][g] + self.back[n - 1][1][c] * toxic + self.prior[n - 1][c] * ordinary
+            mine, its = self.seen[n - 1].find(grams[n])
+            back, its_back, prior = self.rest[n - 1].find(contexts[n])
+            ordinary = mine + back * ordinary
+            toxic = its + its_back * toxic + prior * ordinary
         return np.bincount(owner, np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12)), len(words))
 
 
 def count_cells(words: list[str], counts: np.ndarray, bits: int = BITS, order: int = ORDER) -> list[tuple[int, int, tuple[np.ndarray, ...]]]:
-    """Sparse sums over words with class counts (n, 2): class, order - 1, and for each n-gram its cell, tokens, cell of
-    its context, cell of the n-gram one shorter, and whether it reaches beyond the word's beginning."""
+    """Sums over words with counts (n, classes): class, order - 1, and for each n-gram its hash, tokens, hash of
+    its context, hash of the n-gram one shorter, and whether it reaches beyond the word's beginning."""
     owner, grams, contexts = ngram_cells(words, bits, order)
     begin = np.concatenate([np.arange(1, len(w) + 2) for w in words]) if words else np.zeros(0, int)
     out = []
-    for c in (0, 1):
+    for c in range(counts.shape[1]):
         w = counts[owner, c]
         keep = w > 0
         for n in range(order):
@@ -116,32 +129,39 @@ def count_cells(words: list[str], counts: np.ndarray, bits: int = BITS, order: i
 
 
 def build_model(cells: list[tuple[int, int, tuple[np.ndarray, ...]]], bits: int = BITS, order: int = ORDER, prior: float = PRIOR) -> KneserNey:
-    """The tables from sparse sums in which no cell of a class and order comes twice."""
-    size = [1 << order_bits(n + 1, bits) for n in range(order)]
-    counts = [[np.zeros(k, np.float32) for k in size] for _ in range(2)]
-    by = {(c, n): [np.concatenate(x) for x in zip(*(p for d, m, p in cells if (d, m) == (c, n)))] for c, n, _ in cells}
-    for (c, n), (cell, tokens, _, shorter, opens) in by.items():
-        if n == order - 1:
-            counts[c][n][cell] = tokens
-        if n:
-            counts[c][n - 1] += np.bincount(shorter, np.where(opens, tokens, 1), size[n - 1]).astype(np.float32)
-    shared = counts[0][0] + counts[1][0] + 0.5
-    seen, back, priors = [], [], []
+    """The tables from sums in which no n-gram of a class and order comes twice."""
+    by = {(c, n): [np.concatenate(x) for x in zip(*(p for d, m, p in cells if (d, m) == (c, n)))] for c, n in {x[:2] for x in cells}}
+    nothing = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
+    of = lambda c, n: by.get((c, n)) or nothing
+    keys = [np.unique(np.concatenate([of(c, n)[0] for c in (0, 1)])) for n in range(order)]
+    at = {(c, n): np.searchsorted(keys[n], of(c, n)[0]) for c in (0, 1) for n in range(order)}
+    counts = [[np.zeros(len(k)) for k in keys] for _ in range(2)]
+    for c in (0, 1):
+        for n in range(order):
+            _, tokens, _, shorter, opens = of(c, n)
+            if n == order - 1:
+                counts[c][n][at[c, n]] = tokens
+            if n:
+                counts[c][n - 1] += np.bincount(np.searchsorted(keys[n - 1], shorter), np.where(opens, tokens, 1), len(keys[n - 1]))
+    shared = np.append(counts[0][0] + counts[1][0], 0) + 0.5
+    seen, rests = [], []
     for n in range(1, order):
+        contexts = np.unique(np.concatenate([of(c, n)[2] for c in (0, 1)]))
         pair, rest = [], []
         for c in (0, 1):
-            cell, _, context, *_ = by.get((c, n)) or [np.zeros(0, np.int32)] * 5
-            total = np.bincount(context, counts[c][n][cell], size[n])
-            left = np.where(total > 0, DISCOUNT * np.minimum(np.bincount(context, minlength=size[n]), total), 1.0)
+            own = counts[c][n][at[c, n]]
+            context = np.searchsorted(contexts, of(c, n)[2])
+            size = len(contexts) + 1  # the last is a context never seen
+            total = np.bincount(context, own, size)
+            left = np.where(total > 0, DISCOUNT * np.minimum(np.bincount(context, minlength=size), total), 1.0)
             total = np.maximum(total, 1.0) + c * prior
-            mine = np.zeros(size[n], np.float32)
-            mine[cell] = np.maximum(counts[c][n][cell] - DISCOUNT, 0) / total[context]
-            pair.append(mine.astype(np.float16))
-            rest.append((left / total).astype(np.float16))
-        seen.append(tuple(pair))
-        back.append(tuple(rest))
-        priors.append((prior / total).astype(np.float16))
-    return KneserNey(seen, back, priors, (shared / shared.sum()).astype(np.float32), bits, order)
+            mine = np.zeros(len(keys[n]) + 1, np.float32)
+            mine[at[c, n]] = np.maximum(own - DISCOUNT, 0) / total[context]
+            pair.append(mine)
+            rest.append((left / total).astype(np.float32))
+        seen.append(Table(keys[n], tuple(pair)))
+        rests.append(Table(contexts, (*rest, (prior / total).astype(np.float32))))
+    return KneserNey(seen, rests, Table(keys[0], ((shared / shared.sum()).astype(np.float32),)), bits, order)
 
 
 def document_features(ratios: np.ndarray, lengths: np.ndarray) -> tuple[float, float, float, float]:
@@ -215,10 +235,10 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def train_model(rows: DataFrame, bits: int = BITS, order: int = ORDER) -> KneserNey:
-    """Counts over every row of rows(text, label)."""
+def train_models(rows: DataFrame, bits: int = BITS, order: int = ORDER) -> tuple[KneserNey, KneserNey]:
+    """From rows(text, label, calibrates): a model of those that don't calibrate, and one of all."""
 
-    columns = ["slot", "cell", "n", "context", "shorter", "opens"]
+    columns = ["slot", "cell", "n", "every", "context", "shorter", "opens"]
 
     def count(batches):
         import pyarrow as pa
@@ -227,38 +247,41 @@ def train_model(rows: DataFrame, bits: int = BITS, order: int = ORDER) -> Kneser
 
         def flush():
             names = list(sums)
-            counts = np.array([sums[w] for w in names], np.float64).reshape(-1, 2)
-            for c, n, (cell, tokens, *rest) in count_cells(names, counts, bits, order):
-                slot = np.full(len(cell), c * order + n, np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(cell.astype(np.int32)), pa.array(tokens.astype(np.int64)), *(pa.array(x.astype(np.int32)) for x in rest)], names=columns)
+            counts = np.array([sums[w] for w in names], np.float64).reshape(-1, 4)
+            for c, n, (cell, tokens, context, shorter, opens) in count_cells(names, counts, bits, order):
+                slot = np.full(len(cell), c % 2 * order + n, np.int32)
+                tokens = tokens.astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slot, cell, tokens * (c < 2), tokens, context, shorter, opens)], names=columns)
 
         for batch in batches:
-            for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for text, label, calibrates in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for w in words_of(text):
                     if (s := sums.get(w)) is None:
-                        s = sums[w] = [0, 0]
-                    s[label] += 1
+                        s = sums[w] = [0, 0, 0, 0]
+                    s[label + 2 * calibrates] += 1
             if len(sums) > 100_000:
                 yield from flush()
                 sums.clear()
         yield from flush()
 
-    sent = rows.select("text", "label").mapInArrow(count, "slot int, cell int, n bigint, context int, shorter int, opens int")
-    # one row a cell: at most 2 * order * 2**bits rows, whatever the corpus
-    table = sent.groupBy("slot", "cell").agg(F.sum("n").alias("n"), *(F.max(c).alias(c) for c in columns[3:]))
-    kinds = (np.int32, np.int32, np.float32, np.int32, np.int32, np.bool_)
+    sent = rows.select("text", "label", "calibrates").mapInArrow(count, "slot int, cell bigint, n bigint, every bigint, context bigint, shorter bigint, opens boolean")
+    table = sent.groupBy("slot", "cell").agg(F.sum("n").alias("n"), F.sum("every").alias("every"), *(F.max(c).alias(c) for c in columns[4:]))
+    kinds = (np.int32, *[np.int64] * 5, np.bool_)
 
     def pack(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy().astype(t).tobytes()]) for i, t in enumerate(kinds)], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy(zero_copy_only=False).astype(t).tobytes()]) for i, t in enumerate(kinds)], names=columns)
 
-    parts = []
+    some, every = [], []
     for r in table.mapInArrow(pack, ", ".join(f"{c} binary" for c in columns)).toLocalIterator():
-        slot, *rest = (np.frombuffer(x, t) for x, t in zip(r, kinds))
-        parts += [(int(s) // order, int(s) % order, tuple(x[slot == s] for x in rest)) for s in np.unique(slot)]
-    return build_model(parts, bits, order)
+        slot, cell, n, total, *rest = (np.frombuffer(x, t) for x, t in zip(r, kinds))
+        for s in np.unique(slot):
+            for out, tokens in ((some, n), (every, total)):
+                own = (slot == s) & (tokens > 0)
+                out.append((int(s) // order, int(s) % order, tuple(x[own] for x in (cell, tokens, *rest))))
+    return build_model(some, bits, order), build_model(every, bits, order)
 
 
 def classify(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> DataFrame:
@@ -268,20 +291,19 @@ def classify(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Data
     an empty table gives none; without labels of both classes the score is constant. Other columns are not read."""
     spark = docs.sparkSession
     rows = _labelled(docs, labels)
-    model = train_model(rows.where(~F.col("calibrates")))
-    shared = spark.sparkContext.broadcast(model)
+    shared = [spark.sparkContext.broadcast(m) for m in train_models(rows)]
     scorers: dict[int, Scorer] = {}
 
-    def scorer() -> Scorer:
-        if 0 not in scorers:
-            scorers[0] = Scorer(shared.value)
-        return scorers[0]
+    def scorer(k: int) -> Scorer:
+        if k not in scorers:
+            scorers[k] = Scorer(shared[k].value)
+        return scorers[k]
 
     def features(batches):
         import pyarrow as pa
 
         for batch in batches:
-            x = scorer().features(batch.column(0).to_pylist())
+            x = scorer(0).features(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*(pa.array(x[:, i]) for i in range(4)), batch.column(1)], names=["a", "b", "c", "d", "label"])
 
     sample = rows.where("calibrates").select("doc_id", "text", "label")
@@ -294,7 +316,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Data
         import pyarrow as pa
 
         for batch in batches:
-            x = (scorer().features(batch.column(1).to_pylist()) - mean) / scale
+            x = (scorer(0).features(batch.column(1).to_pylist()) - mean) / scale
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
 
