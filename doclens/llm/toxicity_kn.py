@@ -77,9 +77,21 @@ class Table:
     keys: np.ndarray
     columns: tuple[np.ndarray, ...]
 
+    def __post_init__(self):
+        # where the keys of each value of the leading bits begin, some one key each
+        self.shift = 64 - max(1, len(self.keys).bit_length())
+        high = (self.keys >> self.shift) + (1 << 63 - self.shift)
+        self.starts = np.searchsorted(high, np.arange((1 << 64 - self.shift) + 1)).astype(np.int32)
+
     def find(self, x: np.ndarray) -> list[np.ndarray]:
+        high = (x >> self.shift) + (1 << 63 - self.shift)
+        at, end = self.starts[high], self.starts[high + 1]
+        todo = np.flatnonzero(at < end)
+        while len(todo):
+            todo = todo[self.keys[at[todo]] != x[todo]]
+            at[todo] += 1
+            todo = todo[at[todo] < end[todo]]
         n = len(self.keys)
-        at = np.searchsorted(self.keys, x)
         if n:
             at[self.keys[np.minimum(at, n - 1)] != x] = n
         return [c[at] for c in self.columns]
@@ -316,7 +328,7 @@ def classify(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> Data
         import pyarrow as pa
 
         for batch in batches:
-            x = (scorer(0).features(batch.column(1).to_pylist()) - mean) / scale
+            x = (scorer(1).features(batch.column(1).to_pylist()) - mean) / scale
             p = 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p)], names=["doc_id", "score"])
 

@@ -3,8 +3,12 @@
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
+
 from doclens.llm import toxicity_kn
 
+from .conftest import words
+
 
 def test_model_grows_with_the_ngrams():
     rng = random.Random(1)
@@ -13,3 +17,19 @@ def test_model_grows_with_the_ngrams():
     for n in range(6):
         different = {("\2" + w + "\3")[max(0, k - n) : k + 1].rjust(n + 1, "\0") for w in ws for k in range(1, len(w) + 2)}
         assert len(np.unique(grams[n])) == len(different)
+
+
+def test_every_learnable_fold_counts(spark, frame):
+    rng = random.Random(4)
+    rows = spark.range(600).select("id", (F.crc32(F.col("id").cast("string")) % 5).alias("fold")).collect()
+    texts, marks = [], []
+    for r in rows:
+        w, toxic = words(rng, 40), r.id % 4 == 0
+        if toxic:
+            w[3] = w[11] = w[30] = "qozzik" if r.fold in (0, 4) and r.id % 8 == 0 else "vilkar"
+        texts.append(" ".join(w))
+        marks.append((r.id, int(toxic)))
+    labels = spark.createDataFrame(marks, "doc_id bigint, toxic int")
+    got = {r.doc_id: r for r in toxicity_kn.classify(frame(texts), labels).collect()}
+    held = [got[r.id] for r in rows if r.fold == 0 and r.id % 8 == 0]
+    assert len(held) > 8 and all(r.held_out and r.predicted == 1 for r in held)
