@@ -3,9 +3,10 @@
 Patterned kinds (assign, access, hex) are found by regular expressions. Candidate strings for the entropy kinds are
 runs of base64 or hex characters; over each slides a window of ``WINDOW`` characters whose Shannon entropy follows
 from counts by character: when one character enters and one leaves, two counts change, and with them the sum of
-c log2 c that the entropy needs. A class has its own threshold, since hex digits reach 4 bits at most. The span runs
-from the first window over the threshold to the last. Candidates on the allow list, and spans that touch a patterned
-one, are left out.
+c log2 c that the entropy needs. A class has its own threshold, since hex digits reach 4 bits at most. A span
+runs from the first to the last of the windows over the threshold that overlap or touch. Patterned spans, and the words
+(letters and digits) that hold something on the allow list, are cut out of a run first; each piece left is a candidate.
+A candidate without digits needs letters of both cases.
 
 Everything happens within a row, so nothing is shuffled and no group can be large. Positions are code points,
 ends exclusive.
@@ -54,8 +55,22 @@ def spans(text: Column, pattern: str, groups: tuple[int, ...] = (0,)) -> Column:
     return F.aggregate(zipped, start, add, lambda acc: acc["out"])
 
 
-def entropy_extent(candidate: Column, threshold: Column) -> Column:
-    """struct<first int, last int>: the first and the last start of a window of entropy at least threshold; -1: none."""
+def blanked(text: Column, cut: Column) -> Column:
+    """text with blanks at the places of cut, array<struct<start, end>>."""
+    ordered = F.array_sort(F.transform(cut, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end"))))
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+    def add(acc, c):
+        kept = F.substr(text, acc["at"] + F.lit(1), F.greatest(c["start"] - acc["at"], F.lit(0)))
+        blank = F.repeat(F.lit(" "), F.greatest(c["end"] - F.greatest(c["start"], acc["at"]), F.lit(0)))
+        return F.struct(F.greatest(acc["at"], c["end"]).alias("at"), F.concat(acc["out"], kept, blank).alias("out"))
+
+    return F.aggregate(ordered, start, add, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + F.lit(1), F.length(text))))
+
+
+def entropy_extents(candidate: Column, threshold: Column) -> Column:
+    """array<struct<first int, last int>>: the first and the last start of each group of windows of entropy at least
+    threshold that overlap or touch."""
     xlog = lambda c: F.when(c > 1, c * F.log2(c)).otherwise(F.lit(0.0))
     place = lambda at: F.instr(F.lit(ALPHABET), F.substr(candidate, at + F.lit(1), F.lit(1))) - F.lit(1)
     count = lambda counts, i: F.get(counts, i).cast("double")
@@ -64,8 +79,12 @@ def entropy_extent(candidate: Column, threshold: Column) -> Column:
         F.lit(0.0).alias("s"),
         F.lit(-1).alias("first"),
         F.lit(-1).alias("last"),
+        F.filter(F.array(F.struct(F.lit(0).alias("first"), F.lit(0).alias("last"))), lambda x: F.lit(False)).alias("done"),
     )
 
+    def group(acc):
+        return F.array(F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+
     def slide(acc, at):
         new, old = place(at), F.when(at >= WINDOW, place(at - F.lit(WINDOW))).otherwise(F.lit(-1))
         left = F.when(old >= 0, count(acc["counts"], old)).otherwise(F.lit(0.0))
@@ -74,14 +93,16 @@ def entropy_extent(candidate: Column, threshold: Column) -> Column:
         s = acc["s"] + xlog(left - 1) - xlog(left) + xlog(entered + 1) - xlog(entered)
         begin = at - F.lit(WINDOW - 1)
         hit = (begin >= 0) & (F.log2(F.lit(float(WINDOW))) - s / WINDOW >= threshold)
+        new_group = hit & (acc["first"] >= 0) & (begin - acc["last"] > WINDOW)
         return F.struct(
             after.alias("counts"),
             s.alias("s"),
-            F.when(hit & (acc["first"] < 0), begin).otherwise(acc["first"]).alias("first"),
+            F.when(new_group | hit & (acc["first"] < 0), begin).otherwise(acc["first"]).alias("first"),
             F.when(hit, begin).otherwise(acc["last"]).alias("last"),
+            F.when(new_group, F.concat(acc["done"], group(acc))).otherwise(acc["done"]).alias("done"),
         )
 
-    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), start, slide, lambda acc: F.struct(acc["first"].alias("first"), acc["last"].alias("last")))
+    return F.aggregate(F.sequence(F.lit(0), F.length(candidate) - 1), start, slide, lambda acc: F.when(acc["first"] >= 0, F.concat(acc["done"], group(acc))).otherwise(acc["done"]))
 
 
 def find_secrets(docs: DataFrame, extra: tuple[str, ...] = ALLOWED) -> DataFrame:
@@ -92,6 +113,8 @@ def find_secrets(docs: DataFrame, extra: tuple[str, ...] = ALLOWED) -> DataFrame
     null doc_id and repeated rows are treated like others; other columns are not read; an empty table gives none."""
     none = "CAST(array() AS array<struct<start:int,end:int,kind:string,rank:int>>)"
 
+    bare = "CAST(array() AS array<struct<start:int,end:int>>)"
+
     def kind(found: Column, i: int) -> Column:
         return F.transform(found, lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), F.lit(KINDS[i]).alias("kind"), F.lit(i).alias("rank")))
 
@@ -103,27 +126,37 @@ def find_secrets(docs: DataFrame, extra: tuple[str, ...] = ALLOWED) -> DataFrame
     base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select(
         "doc_id", "text", F.concat(*(F.coalesce(x, F.expr(none)) for x in (assign, access, hexed))).alias("base")
     )
-    candidates = F.when(
-        text.rlike(CANDIDATE),
-        F.filter(
-            spans(text, CANDIDATE),
-            lambda m: m["g0"].rlike("[0-9]") & m["g0"].rlike("[A-Za-z]") & ~m["g0"].rlike("|".join(f"(?:{p})" for p in extra) or "(?!)"),
-        ),
-    )
+    base = base.withColumn("rest", F.when(text.rlike(CANDIDATE), F.when(F.size("base") > 0, blanked(text, F.col("base"))).otherwise(text)))
+    rest = F.col("rest")
+    piece = lambda start, g0: F.struct(start.alias("start"), g0.alias("g0"))
+
+    def pieces(m):
+        """What the allow list leaves of a run."""
+        run = m["g0"]
+        words = (F.when(run.rlike(p), spans(run, rf"(?<![A-Za-z0-9])[A-Za-z0-9]*?(?:{p})[A-Za-z0-9]*")) for p in extra)
+        cut = F.concat(*(F.coalesce(F.transform(x, lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))), F.expr(bare)) for x in words))
+        left = F.transform(spans(blanked(run, cut), CANDIDATE), lambda x: piece(m["start"] + x["start"], x["g0"]))
+        return F.when(run.rlike("|".join(f"(?:{p})" for p in extra)), left).otherwise(F.array(piece(m["start"], run)))
+
+    runs = spans(rest, CANDIDATE)
+    candidates = F.flatten(F.transform(runs, pieces)) if extra else F.transform(runs, lambda m: piece(m["start"], m["g0"]))
+    candidates = F.filter(candidates, lambda m: m["g0"].rlike("[A-Za-z]") & (m["g0"].rlike("[0-9]") | m["g0"].rlike("[A-Z]") & m["g0"].rlike("[a-z]")))
 
     def entropic(m):
         hexes = m["g0"].rlike("^[0-9a-fA-F]+$")
-        extent = entropy_extent(m["g0"], F.when(hexes, THRESHOLDS["entropy_hex"]).otherwise(THRESHOLDS["entropy_base64"]))
-        return F.struct(m["start"].alias("start"), extent.alias("extent"), F.when(hexes, F.lit(3)).otherwise(F.lit(4)).alias("rank"))
-
-    def placed(x):
-        begin = x["start"] + x["extent"]["first"]
-        return F.struct(begin.alias("start"), (x["start"] + x["extent"]["last"] + F.lit(WINDOW)).alias("end"), F.element_at(F.array(*map(F.lit, KINDS)), x["rank"] + 1).alias("kind"), x["rank"].alias("rank"))
+        extents = entropy_extents(m["g0"], F.when(hexes, THRESHOLDS["entropy_hex"]).otherwise(THRESHOLDS["entropy_base64"]))
+        rank = F.when(hexes, F.lit(3)).otherwise(F.lit(4))
+        return F.transform(
+            extents,
+            lambda x: F.struct(
+                (m["start"] + x["first"]).alias("start"),
+                (m["start"] + x["last"] + F.lit(WINDOW)).alias("end"),
+                F.element_at(F.array(*map(F.lit, KINDS)), rank + 1).alias("kind"),
+                rank.alias("rank"),
+            ),
+        )
 
-    # a candidate inside a patterned secret needs no window
-    free = F.filter(candidates, lambda m: ~F.exists("base", lambda b: (b["start"] <= m["start"]) & (m["end"] <= b["end"])))
-    found = F.transform(F.filter(F.transform(free, entropic), lambda x: x["extent"]["first"] >= 0), placed)
-    new = F.filter(found, lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
+    new = F.when(rest.rlike(CANDIDATE), F.flatten(F.transform(candidates, entropic)))
     every = F.concat("base", F.coalesce(new, F.expr(none)))
     ordered = F.array_sort(F.transform(every, lambda x: F.struct(x["start"], x["rank"], x["end"], x["kind"])))
     return base.select("doc_id", F.transform(ordered, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"))).alias("secrets"))
