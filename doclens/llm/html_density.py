@@ -21,9 +21,11 @@ from math import e, log
 
 from pyspark.sql import DataFrame
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-_LOOSE = re.compile(r"<([/]?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
+# a quote opens a value after an equals sign only; one that is never closed is a character like others
+_VALUE = r"\"[^\"]*\"|'[^']*'|[^\s>\"'][^\s>]*"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<([/]?)([a-zA-Z][^\s/>]*)((?:=\s*+(?:{_VALUE})|[^>])*+)>|<[!?][^>]*>", re.S)
+_ATTRIBUTE = re.compile(rf"([^\s/>=\"'][^\s/>=]*)(?:\s*+=\s*+({_VALUE})?)?|=\s*+(?:{_VALUE})")
+_ASKED = frozenset("class id role hidden aria-hidden style".split())
 # Element kinds of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style title textarea noscript template iframe xmp svg math object select option".split())
@@ -50,6 +52,8 @@ def _is_noise(tag: str, attributes: str, in_article: bool) -> bool:
         return False
     for name, value in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), value.strip("\"'").lower()
+        if name not in _ASKED:
+            continue
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in NOISE_ROLES:
             return True
         if name == "style" and re.search(r"display\s*:\s*none", value):
@@ -90,8 +94,6 @@ class Tree:
             name = m[2]
             if not name:
                 continue
-            if len(m[0]) > 2000 and (loose := _LOOSE.match(html, m.start())):  # an unclosed quote: end at the first >
-                m, at = loose, loose.end()
             name = name.lower()
             if m[1]:
                 if count[name] > 0:
