@@ -30,18 +30,31 @@ def group_lines(items: DataFrame) -> DataFrame:
     return rows.withColumn("line_ix", F.dense_rank().over(Window.partitionBy(*PAGE).orderBy("island")) - 1).drop("island")
 
 
-def join_lines(items: DataFrame) -> DataFrame:
-    """doc_id, page, line_ix, text: items in reading order, a blank where facing edges are apart. A line with a
-    right-to-left character reads from the largest x down; others keep the order in which they come. Runs of left-to-
-    right items inside a right-to-left line are turned by layout.join_line, not here."""
+def _read_order(items: DataFrame) -> DataFrame:
+    """items with place, their order in the line. A line with a right-to-left character reads from the largest x down,
+    others as they come. In the former, a run of left-to-right items reads from the smallest x up: it lies between two
+    right-to-left items and reaches from the first to the last item there that has a digit or a Latin letter."""
     line = Window.partitionBy(*LINE)
-    rtl = F.max(F.col("str").rlike(f"[{GEOMETRY_RTL}]").cast("int")).over(line) == 1
-    rows = items.withColumn("place", F.when(rtl, -F.col("x")).otherwise(F.col("item_ix").cast("double")))
-    order = line.orderBy("place", "item_ix")
+    is_rtl = F.col("str").rlike(f"[{GEOMETRY_RTL}]")
+    rows = items.withColumn("turned", F.max(is_rtl.cast("int")).over(line) == 1)
+    rows = rows.withColumn("place", F.row_number().over(line.orderBy(F.when(F.col("turned"), -F.col("x")).otherwise(F.col("item_ix").cast("double")), "item_ix")))
+    rows = rows.withColumn("island", F.sum(is_rtl.cast("int")).over(line.orderBy("place").rowsBetween(Window.unboundedPreceding, 0)))
+    between = Window.partitionBy(*LINE, "island")
+    latin = F.when(F.col("turned") & ~is_rtl & F.col("str").rlike("[0-9A-Za-z]"), F.col("place"))
+    rows = rows.withColumns({"first": F.min(latin).over(between), "last": F.max(latin).over(between)})
+    rows = rows.withColumn("in_run", F.coalesce(F.col("place").between(F.col("first"), F.col("last")), F.lit(False)))
+    rank = F.row_number().over(Window.partitionBy(*LINE, "island", "in_run").orderBy("x", "place"))
+    rows = rows.withColumn("place", F.when(F.col("in_run"), F.col("first") + rank - 1).otherwise(F.col("place")))
+    return rows.drop("turned", "island", "first", "last", "in_run")
+
+
+def join_lines(items: DataFrame) -> DataFrame:
+    """doc_id, page, line_ix, text: items in reading order, a blank where facing edges are apart."""
+    order = Window.partitionBy(*LINE).orderBy("place")
     px, pw = F.lag("x").over(order), F.coalesce(F.lag("width").over(order), F.lit(0.0))
     gap = F.when(F.col("x") > px, F.col("x") - (px + pw)).otherwise(px - (F.col("x") + F.coalesce("width", F.lit(0.0))))
-    rows = rows.withColumn("piece", F.concat(F.when(gap > SPACE_GAP * _size(), " ").otherwise(""), "str"))
-    pieces = F.transform(F.array_sort(F.collect_list(F.struct("place", "item_ix", "piece"))), lambda p: p["piece"])
+    rows = _read_order(items).withColumn("piece", F.concat(F.when(gap > SPACE_GAP * _size(), " ").otherwise(""), "str"))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("place", "piece"))), lambda p: p["piece"])
     text = F.trim(F.regexp_replace(F.array_join(pieces, ""), f"[{C.SPACE}]+", " "))
     return rows.groupBy(*LINE).agg(text.alias("text"))
 

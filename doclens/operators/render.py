@@ -150,12 +150,12 @@ def _render(s: pd.Series) -> pd.Series:
 
 @F.pandas_udf(StringType())
 def _numbered(s: pd.Series) -> pd.Series:
-    return s.map(lambda t: None if t is None else materialise_list_numbers(t))
+    return s.map(lambda t: materialise_list_numbers(t) if t and "<ol" in t else t)
 
 
 def number_lists(html: Column) -> Column:
-    """Python sees pages with an ordered list only."""
-    return F.when(html.contains("<ol"), _numbered(F.when(html.contains("<ol"), html))).otherwise(html)
+    """materialise_list_numbers; pages without an ordered list pass as they are."""
+    return _numbered(html)
 
 
 def document_css(dir_: str) -> str:

@@ -42,21 +42,30 @@ def flagged_lines(lines: DataFrame, compose: bool = True) -> DataFrame:
     return keyed_lines(lines, compose).join(furniture, ["doc_id", "line"], "left").withColumn("is_furniture", F.coalesce("is_furniture", F.lit(False)))
 
 
-def classify_lines(lines: DataFrame, outputs: DataFrame, compose: bool = True) -> DataFrame:
-    """doc_id, kind, page, line_ix, text of the first of each different line that the output doesn't hold: furniture;
-    reordered if it has all the line's words; else missing.
+def settled_lines(flagged: DataFrame, outputs: DataFrame, compose: bool = True) -> DataFrame:
+    """doc_id, page, line_ix, line, kind of the first of each different line of flagged_lines: null if the output holds
+    it, furniture, reordered if the output has all the line's words, else missing.
 
-    Lines that equal an output line are settled by an equi-join; only the others are looked for in the whole output."""
-    flagged = flagged_lines(lines, compose)
+    Lines that equal an output line are settled by an equi-join; only the others are looked for in the whole output,
+    and only the words of those that are not there meet the output's words, again by an equi-join."""
     first = Window.partitionBy("doc_id", "key").orderBy("page", "line_ix")
     firsts = flagged.withColumn("rank", F.row_number().over(first)).where("rank = 1").drop("rank")
     out_lines = outputs.select("doc_id", F.explode(F.split("rendered", "\n")).alias("l")).select("doc_id", T.normalise(F.col("l"), compose).alias("key")).where("key <> ''").distinct()
-    open_ = firsts.join(out_lines, ["doc_id", "key"], "left_anti")
-    whole = outputs.select("doc_id", T.normalise(F.col("rendered"), compose).alias("haystack"), T.words(F.col("rendered"), compose).alias("held"))
-    lost = open_.join(whole, "doc_id", "left").where(~F.coalesce(F.contains("haystack", "key"), F.lit(False)))
-    held = F.size(F.array_except(T.words(F.col("text"), compose), F.coalesce("held", F.array().cast("array<string>")))) == 0
-    kind = F.when(F.col("is_furniture"), "furniture").when(held, "reordered").otherwise("missing")
-    return lost.select("doc_id", kind.alias("kind"), "page", "line_ix", F.col("line").alias("text"))
+    firsts = firsts.join(out_lines.withColumn("equal", F.lit(True)), ["doc_id", "key"], "left")
+    whole = outputs.select("doc_id", T.normalise(F.col("rendered"), compose).alias("haystack"))
+    lost = firsts.where("equal IS NULL").join(whole, "doc_id", "left").where(~F.coalesce(F.contains("haystack", "key"), F.lit(False)))
+    held = outputs.select("doc_id", F.explode(T.words(F.col("rendered"), compose)).alias("word")).distinct()
+    wanted = lost.select("doc_id", "page", "line_ix", F.explode(T.words(F.col("text"), compose)).alias("word"))
+    absent = wanted.join(held, ["doc_id", "word"], "left_anti").select("doc_id", "page", "line_ix").distinct().withColumn("absent", F.lit(True))
+    kind = F.when(F.col("is_furniture"), "furniture").when(F.col("absent"), "missing").otherwise("reordered")
+    found = lost.join(absent, ["doc_id", "page", "line_ix"], "left").select("doc_id", "page", "line_ix", kind.alias("kind"))
+    return firsts.select("doc_id", "page", "line_ix", "line").join(found, ["doc_id", "page", "line_ix"], "left")
+
+
+def classify_lines(lines: DataFrame, outputs: DataFrame, compose: bool = True) -> DataFrame:
+    """doc_id, kind, page, line_ix, text of the first of each different line that the output doesn't hold."""
+    settled = settled_lines(flagged_lines(lines, compose), outputs, compose)
+    return settled.where("kind IS NOT NULL").select("doc_id", "kind", "page", "line_ix", F.col("line").alias("text"))
 
 
 def number_counts(rows: DataFrame, text: str) -> DataFrame:
@@ -120,11 +129,12 @@ def script_alarm(kept: DataFrame) -> DataFrame:
 
 def verdicts(lines: DataFrame, pages: DataFrame, outputs: DataFrame, compose: bool = True) -> DataFrame:
     """doc_id, pages, lines (different keyed ones), undecoded, missing, reordered, furniture, renumbered, passed."""
-    found = classify_lines(lines, outputs, compose).groupBy("doc_id").agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("missing", "reordered", "furniture")))
-    numbers = number_diff(kept_lines(lines, compose), outputs).groupBy("doc_id").agg(F.count("*").alias("renumbered"))
-    distinct = keyed_lines(lines, compose).groupBy("doc_id").agg(F.count_distinct("key").alias("lines"))
+    flagged = flagged_lines(lines, compose)
+    kinds = (F.count_if(F.col("kind") == k).alias(k) for k in ("missing", "reordered", "furniture"))
+    found = settled_lines(flagged, outputs, compose).groupBy("doc_id").agg(F.count("*").alias("lines"), *kinds)
+    numbers = number_diff(flagged.where("NOT is_furniture").select("doc_id", "text"), outputs).groupBy("doc_id").agg(F.count("*").alias("renumbered"))
     docs = pages.groupBy("doc_id").agg(F.count("*").alias("pages"), F.sum("undecoded").cast("bigint").alias("undecoded"))
-    rows = docs.join(distinct, "doc_id", "left").join(found, "doc_id", "left").join(numbers, "doc_id", "left").fillna(0)
+    rows = docs.join(found, "doc_id", "left").join(numbers, "doc_id", "left").fillna(0)
     return rows.withColumn("passed", (F.col("missing") == 0) & (F.col("renumbered") == 0) & (F.col("undecoded") == 0)).select(
         "doc_id", "pages", "lines", "undecoded", "missing", "reordered", "furniture", "renumbered", "passed"
     )

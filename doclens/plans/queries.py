@@ -193,11 +193,17 @@ def ocr_sidecar(spark, sf_dir):
 # -- verification ------------------------------------------------------------------------------------------------
 
 HEADER = "Confidential 2024"
+_BINDER = "'d' || doc_id // 50"
+
+
+def binder():
+    """The document that a page is bound into; documents stay small at any scale."""
+    return F.expr("concat('d', doc_id div 50)")
 
 
 def page_texts(spark, sf_dir) -> DataFrame:
-    """doc_id (the source), page (the document), text: under a header that all pages share."""
-    return table(spark, sf_dir, "documents").select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), F.concat(F.lit(HEADER + "\n"), "text").alias("text"))
+    """doc_id, page (a row of documents, fifty to a document), text: under a header that all pages share."""
+    return table(spark, sf_dir, "documents").select(binder().alias("doc_id"), F.col("doc_id").alias("page"), F.concat(F.lit(HEADER + "\n"), "text").alias("text"))
 
 
 def page_lines(spark, sf_dir) -> DataFrame:
@@ -210,12 +216,12 @@ def page_outputs(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents").where("doc_id % 50 <> 7")
     text = F.when(F.col("doc_id") % 10 == 3, F.replace("text", F.lit("1"), F.lit("7"))).when(F.col("doc_id") % 10 == 4, F.array_join(F.reverse(F.split("text", " ")), " ")).otherwise(F.col("text"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("doc_id", text.alias("t")))), lambda x: x["t"])
-    return d.groupBy(F.col("source").alias("doc_id")).agg(F.array_join(ordered, "\n").alias("rendered"))
+    return d.groupBy(binder().alias("binder")).agg(F.array_join(ordered, "\n").alias("rendered")).withColumnRenamed("binder", "doc_id")
 
 
-_PAGES = f"""lines AS (SELECT doc_id, page, unnest(range(len(ls))) AS line_ix, unnest(ls) AS text FROM (SELECT source AS doc_id, doc_id AS page, string_split('{HEADER}' || chr(10) || text, chr(10)) AS ls FROM documents)),
-outputs AS (SELECT source AS doc_id, string_agg(CASE WHEN doc_id % 10 = 3 THEN replace(text, '1', '7') WHEN doc_id % 10 = 4 THEN array_to_string(list_reverse(string_split(text, ' ')), ' ') ELSE text END, chr(10) ORDER BY doc_id) AS rendered
-  FROM documents WHERE doc_id % 50 <> 7 GROUP BY 1),
+_PAGES = f"""lines AS (SELECT doc_id, page, unnest(range(len(ls))) AS line_ix, unnest(ls) AS text FROM (SELECT {_BINDER} AS doc_id, doc_id AS page, string_split('{HEADER}' || chr(10) || text, chr(10)) AS ls FROM documents)),
+outputs AS (SELECT b AS doc_id, string_agg(CASE WHEN doc_id % 10 = 3 THEN replace(text, '1', '7') WHEN doc_id % 10 = 4 THEN array_to_string(list_reverse(string_split(text, ' ')), ' ') ELSE text END, chr(10) ORDER BY doc_id) AS rendered
+  FROM (SELECT *, {_BINDER} AS b FROM documents) WHERE doc_id % 50 <> 7 GROUP BY 1),
 cand AS (SELECT doc_id, page, line_ix, regexp_replace(text, '{_ENDS}', '', 'g') AS line, regexp_replace(text, '^\\s*[-*+\\x{{2022}}]\\s+', '') AS text FROM lines),
 per AS (SELECT doc_id, page, line, count(*) AS n FROM cand GROUP BY ALL), sizes AS (SELECT doc_id, count(DISTINCT page) AS pages, count(*) AS size FROM lines GROUP BY 1),
 rep AS (SELECT per.doc_id, line, sum(n) AS total FROM per JOIN sizes USING (doc_id) GROUP BY per.doc_id, line, pages HAVING count(*) = pages AND max(n) <= 2),
@@ -262,29 +268,46 @@ _DETAIL = f"""detail AS (SELECT doc_id, page, count(*)::BIGINT AS lines, len(reg
 
 def page_rows(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select(F.col("source").alias("doc_id"), F.col("doc_id").alias("page"), (F.col("doc_id") % 17 == 0).cast("int").alias("images"), (F.col("doc_id") % 101 == 0).cast("int").alias("undecoded"))
+    return d.select(binder().alias("doc_id"), F.col("doc_id").alias("page"), (F.col("doc_id") % 17 == 0).cast("int").alias("images"), (F.col("doc_id") % 101 == 0).cast("int").alias("undecoded"))
 
 
-@query(f"WITH {_PAGES}, {_DETAIL} SELECT doc_id, page, lines, characters, digest, (page % 17 = 0)::INTEGER AS images, (page % 101 = 0)::INTEGER AS undecoded, false AS picture, true AS has_text FROM detail")
+@query(f"""WITH {_PAGES}, {_DETAIL}, p AS (SELECT {_BINDER} AS b, doc_id AS page FROM documents), q AS (SELECT p.b AS doc_id, p.page, d.* EXCLUDE (doc_id, page) FROM p LEFT JOIN detail d ON d.doc_id = p.b AND d.page = p.page AND p.page % 34 <> 0)
+SELECT doc_id, page, coalesce(lines, 0)::BIGINT AS lines, coalesce(characters, 0)::BIGINT AS characters, coalesce(digest, substr(sha256(''), 1, 16)) AS digest, (page % 17 = 0)::INTEGER AS images, (page % 101 = 0)::INTEGER AS undecoded,
+  lines IS NULL AS picture, lines IS NOT NULL AS has_text FROM q""")
 def page_detail(spark, sf_dir):
-    return verify.page_detail(page_lines(spark, sf_dir), page_rows(spark, sf_dir))
+    """Pages 0, 34, 68, ... hold an image and no line."""
+    return verify.page_detail(page_lines(spark, sf_dir).where("page % 34 <> 0"), page_rows(spark, sf_dir))
 
 
-@query(f"""WITH {_PAGES}, {_NUMBERS}, {_FOUND}, docs AS (SELECT source AS doc_id, count(*) AS pages, count(*) FILTER (doc_id % 101 = 0) AS undecoded FROM documents GROUP BY 1),
+@query(f"""WITH {_PAGES}, {_NUMBERS}, {_FOUND}, docs AS (SELECT {_BINDER} AS b, count(*) AS pages, count(*) FILTER (doc_id % 101 = 0) AS undecoded FROM documents GROUP BY 1),
 k AS (SELECT doc_id, count(DISTINCT key) AS lines FROM flagged GROUP BY 1), f AS (SELECT doc_id, count(*) FILTER (kind = 'missing') AS missing, count(*) FILTER (kind = 'reordered') AS reordered, count(*) FILTER (kind = 'furniture') AS furniture FROM found GROUP BY 1),
 n AS (SELECT doc_id, count(*) AS renumbered FROM diff GROUP BY 1)
 SELECT doc_id, pages::BIGINT AS pages, coalesce(lines, 0)::BIGINT AS lines, undecoded::BIGINT AS undecoded, coalesce(missing, 0)::BIGINT AS missing, coalesce(reordered, 0)::BIGINT AS reordered, coalesce(furniture, 0)::BIGINT AS furniture,
-  coalesce(renumbered, 0)::BIGINT AS renumbered, coalesce(missing, 0) = 0 AND coalesce(renumbered, 0) = 0 AND undecoded = 0 AS passed FROM docs LEFT JOIN k USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN n USING (doc_id)""")
+  coalesce(renumbered, 0)::BIGINT AS renumbered, coalesce(missing, 0) = 0 AND coalesce(renumbered, 0) = 0 AND undecoded = 0 AS passed FROM (SELECT * RENAME (b AS doc_id) FROM docs) LEFT JOIN k USING (doc_id) LEFT JOIN f USING (doc_id) LEFT JOIN n USING (doc_id)""")
 def verdicts(spark, sf_dir):
     return verify.verdicts(page_lines(spark, sf_dir), page_rows(spark, sf_dir), page_outputs(spark, sf_dir))
 
 
-@query()
-def report_json(spark, sf_dir):
+def reports(spark, sf_dir) -> DataFrame:
+    """doc_id, report: the JSON report of each document."""
     lines, pages, outputs = page_lines(spark, sf_dir), page_rows(spark, sf_dir), page_outputs(spark, sf_dir)
     kept, details = verify.kept_lines(lines), verify.page_detail(lines, pages)
-    pictures = verify.illustrations(_images(spark, sf_dir), details.withColumn("doc_id", F.lit("none")))
-    return verify.report_json(verify.verdicts(lines, pages, outputs), details, verify.classify_lines(lines, outputs), verify.number_diff(kept, outputs), pictures, verify.script_alarm(kept), "0.1.0", "1970-01-01T00:00:00Z")
+    images = table(spark, sf_dir, "documents").where("doc_id % 17 = 0").select(
+        binder().alias("doc_id"), F.col("doc_id").alias("page"), F.lit(0).alias("image_ix"), F.lit(200.0).alias("width"), F.lit(100.0).alias("height"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"), F.lit(0.25).alias("share"), F.lit(None).cast("int").alias("px_w"), F.lit(None).cast("int").alias("px_h"),
+    )
+    return verify.report_json(verify.verdicts(lines, pages, outputs), details, verify.classify_lines(lines, outputs), verify.number_diff(kept, outputs), verify.illustrations(images, details), verify.script_alarm(kept), "0.1.0", "1970-01-01T00:00:00Z")
+
+
+@query("""SELECT v.doc_id, 1 AS schema, passed, pages, lines, undecoded, missing, reordered, furniture, renumbered, coalesce(i.n, 0)::BIGINT AS illustrations, false AS scrambled
+FROM (""" + ORACLE_SQL["verdicts"] + f""") v LEFT JOIN (SELECT {_BINDER} AS doc_id, count(*) AS n FROM documents WHERE doc_id % 17 = 0 GROUP BY 1) i USING (doc_id)""")
+def report_json(spark, sf_dir):
+    """Counts and lists of the JSON reports."""
+    j = lambda path, kind: F.get_json_object("report", f"$.{path}").cast(kind)
+    n = lambda path: F.coalesce(F.json_array_length(F.get_json_object("report", f"$.{path}")), F.lit(0)).cast("bigint").alias(path.split(".")[-1])
+    return reports(spark, sf_dir).select(
+        "doc_id", j("schema", "int").alias("schema"), j("passed", "boolean").alias("passed"), *(j(f"totals.{c}", "bigint").alias(c) for c in ("pages", "lines", "undecoded")),
+        *(n(f"findings.{c}") for c in ("missing", "reordered", "furniture", "renumbered")), n("illustrations"), F.get_json_object("report", "$.scrambledScript.rate").isNotNull().alias("scrambled"),
+    )
 
 
 @query(f"""WITH {_PAGES}, {_FOUND}, r AS (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY page, line_ix) AS rank, count(*) OVER (PARTITION BY doc_id, kind) AS n FROM found)
@@ -377,14 +400,14 @@ def page_selection(spark, sf_dir):
     return table(spark, sf_dir, "orders").where(parse_pages("3,10-40,100-160").condition("o_orderkey")).select("o_orderkey", "o_custkey")
 
 
-@query("""WITH n AS (SELECT 'out' || doc_id % 200 || '.md' AS name, source FROM documents), e AS (SELECT DISTINCT 'out' || doc_id % 150 || '.md' AS name, 'src' || doc_id % 150 % 20 AS recorded FROM documents)
+@query("""WITH n AS (SELECT 'out' || doc_id % 200 || '.md' AS name, source FROM documents), e AS (SELECT DISTINCT 'out' || doc_id % 150 || '.md' AS name, 'src' || doc_id % 150 % 7 AS recorded FROM documents)
 SELECT name, source, recorded FROM n JOIN e USING (name) WHERE source <> recorded""")
 def foreign_overwrites(spark, sf_dir):
     from doclens.sources.sinks import foreign_overwrites as check
 
     d = table(spark, sf_dir, "documents")
     name = lambda k: F.concat(F.lit("out"), (F.col("doc_id") % k).cast("string"), F.lit(".md")).alias("name")
-    return check(d.select(name(200), "source"), d.select(name(150), F.concat(F.lit("src"), (F.col("doc_id") % 150 % 20).cast("string")).alias("source")).distinct())
+    return check(d.select(name(200), "source"), d.select(name(150), F.concat(F.lit("src"), (F.col("doc_id") % 150 % 7).cast("string")).alias("source")).distinct())
 
 
 # -- geometry ----------------------------------------------------------------------------------------------------
@@ -446,7 +469,9 @@ def size_headings(spark, sf_dir):
     return geometry.size_headings(geometry.line_metrics(items).join(geometry.join_lines(items), ["doc_id", "page", "line_ix"]))
 
 
-@query()
+@query(f"""WITH {_LINES}, t AS (SELECT doc_id, page, line_ix, string_agg(str, ' | ' ORDER BY item_ix) AS r, string_agg(str, ' ' ORDER BY item_ix) AS p FROM g GROUP BY ALL)
+SELECT doc_id, page::INTEGER AS page, 0 AS block_ix, CASE WHEN count(*) > 1 THEN 'table' ELSE 'paragraph' END AS kind, CASE WHEN count(*) > 1 THEN max(CASE WHEN line_ix = 0 THEN '| ' || r || ' |' END) || chr(10) || '| --- | --- | --- | --- |' || chr(10)
+  || string_agg('| ' || r || ' |', chr(10) ORDER BY line_ix) FILTER (line_ix > 0) ELSE max(p) END AS md FROM t GROUP BY doc_id, page""")
 def page_blocks(spark, sf_dir):
     from doclens.operators.layout import page_blocks as blocks
 

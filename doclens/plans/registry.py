@@ -4,7 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from doclens.plans.queries import ORACLE_SQL, QUERIES
+from doclens.plans import file_queries, queries
+
+QUERIES = queries.QUERIES | file_queries.QUERIES
+ORACLE_SQL = queries.ORACLE_SQL | file_queries.ORACLE_SQL
 
 __all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES"]
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
@@ -44,6 +47,17 @@ class DocumentFiles(DataSource):
         return _FilesWriter(self.options)
 
 
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the one that the cluster names in spark.checkpoint.dir. Only a local master may do without."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='doclens-')}"
+        spark.conf.set("spark.checkpoint.dir", base)
+    return f"{base.rstrip('/')}/doclens-{name}-{uuid.uuid4().hex}"
+
+
 def output_files(docs: DataFrame, format_: str = "both") -> DataFrame:
     """name, content, doc_id of docs(doc_id, title, md, html): <title>.md, <title>.html or both."""
     md = F.struct(F.concat("title", F.lit(".md")).alias("name"), F.col("md").alias("content"))
