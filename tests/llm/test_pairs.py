@@ -112,7 +112,7 @@ def test_lines(frame, corpus):
 
 
 def brute_contamination(text, items):
-    tokens = lambda t: re.findall(decontaminate.WORD, "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    tokens = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
     w, hits, ids = tokens(text), set(), set()
     for item, t in items:
         q = tokens(t)
