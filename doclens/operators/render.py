@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from html import escape
+from itertools import zip_longest
 
 import pandas as pd
 from pyspark.sql import Column
@@ -12,27 +13,58 @@ from pyspark.sql.types import StringType
 
 _SLIDE_COMMENT = re.compile(r"^<!-- Slide \d+ (?:notes|OCR) -->$")
 _ITEM = re.compile(r"^(\s*)(?:([-*+])|(\d{1,9})([.)]))\s+(.*)$")
-_INLINE = re.compile(r"\\([\\`*_{}\[\]()#+\-.!|>~])|`([^`]+)`|\*\*(\S(?:.*?\S)?)\*\*|\*(\S(?:.*?\S)?)\*")
+_INLINE = re.compile(
+    r"\\(?P<char>[\\`*_{}\[\]()#+\-.!|>~])|`(?P<code>[^`]+)`|\*\*(?P<strong>\S(?:.*?\S)?)\*\*|\*(?P<em>\S(?:.*?\S)?)\*|~~(?P<gone>\S(?:.*?\S)?)~~"
+    r"|(?P<image>!?)\[(?P<label>[^\[\]]*)\]\((?P<to>[^()\s]*(?:\([^()\s]*\)[^()\s]*)*)(?:\s+\"(?P<title>[^\"]*)\")?\)"
+    r"|<(?P<angle>(?:https?|mailto):[^\s<>]+)>|(?P<bare>https?://[^\s<>]*[^\s<>.,;:!?\"')*_~])"
+)
+_TAGS = {"strong": "strong", "em": "em", "gone": "del"}
+_SAFE = re.compile(r"(?i)(?:https?:|mailto:|[^:]*$|[^:]*[/?#])")
+
+
+def _link(to: str, body: str, title: str | None = None) -> str:
+    """A link; of a target whose scheme could run something, the text only."""
+    if not _SAFE.match(to):
+        return body
+    return f'<a href="{escape(to)}"' + (f' title="{escape(title)}"' if title else "") + f">{body}</a>"
 
 
 def inline(text: str) -> str:
-    """Escapes, code spans, strong and emphasis; everything else as text."""
+    """Escapes, code spans, strong, emphasis, strikethrough, links, images and addresses; everything else as text."""
     out, at = [], 0
     for m in _INLINE.finditer(text):
         out.append(escape(text[at : m.start()], quote=True))
-        char, code, strong, em = m.groups()
-        if char is not None:
-            out.append(escape(char))
-        elif code is not None:
-            out.append(f"<code>{escape(code)}</code>")
-        elif strong is not None:
-            out.append(f"<strong>{inline(strong)}</strong>")
+        at, kind = m.end(), m.lastgroup
+        if m["char"] is not None:
+            out.append(escape(m["char"]))
+        elif m["code"] is not None:
+            out.append(f"<code>{escape(m['code'])}</code>")
+        elif kind in _TAGS:
+            out.append(f"<{_TAGS[kind]}>{inline(m[kind])}</{_TAGS[kind]}>")
+        elif m["to"] is not None and m["image"]:
+            named = f' title="{escape(m["title"])}"' if m["title"] else ""
+            out.append(f'<img src="{escape(m["to"])}" alt="{escape(m["label"])}"{named}>' if _SAFE.match(m["to"]) else escape(m["label"]))
+        elif m["to"] is not None:
+            out.append(_link(m["to"], inline(m["label"]), m["title"]))
         else:
-            out.append(f"<em>{inline(em)}</em>")
-        at = m.end()
+            address = m["angle"] or m["bare"]
+            out.append(_link(address, escape(address.removeprefix("mailto:"))))
     return "".join([*out, escape(text[at:], quote=True)])
 
 
+def _item(text: str) -> str:
+    """An item's text; [ ] and [x] before it are boxes."""
+    if box := re.match(r"\[([ xX])\]\s+", text):
+        return f'<input{"" if box[1] == " " else " checked=" + chr(34) * 2} disabled="" type="checkbox"> {inline(text[box.end():])}'
+    return inline(text)
+
+
+def _alignment(rule: str) -> list[str]:
+    """The attribute of each column by the colons of the row below a table's head."""
+    sides = {(True, False): "left", (True, True): "center", (False, True): "right"}
+    return [f' align="{sides[s]}"' if (s := (c.startswith(":"), c.endswith(":"))) in sides else "" for c in _row(rule)]
+
+
 def _row(line: str) -> list[str]:
     return [c.strip().replace("\\|", "|") for c in re.split(r"(?<!\\)\|", line.strip().strip("|"))]
 
@@ -52,7 +84,7 @@ def _list(lines: list[str]) -> str:
     for text, rest in items:
         nested = [k for k, r in enumerate(rest) if _ITEM.match(r)]
         body = " ".join([text, *(r.strip() for r in rest[: nested[0] if nested else len(rest)])])
-        out.append(f"<li>{inline(body)}{_list(rest[nested[0]:]) if nested else ''}</li>")
+        out.append(f"<li>{_item(body)}{_list(rest[nested[0]:]) if nested else ''}</li>")
     start = f' start="{int(first[3])}"' if ordered and int(first[3]) != 1 else ""
     tag = "ol" if ordered else "ul"
     return f"<{tag}{start}>\n" + "\n".join(out) + f"\n</{tag}>"
@@ -89,7 +121,8 @@ def markdown_to_html(markdown: str) -> str:
             end = k + 2
             while end < len(lines) and "|" in lines[end]:
                 end += 1
-            cells = lambda tag, x: "<tr>" + "".join(f"<{tag}>{inline(c)}</{tag}>" for c in _row(x)) + "</tr>"
+            sides = _alignment(lines[k + 1])
+            cells = lambda tag, x: "<tr>" + "".join(f"<{tag}{a}>{inline(c)}</{tag}>" for c, a in zip_longest(_row(x)[: len(sides)], sides, fillvalue="")) + "</tr>"
             body = "\n".join(cells("td", x) for x in lines[k + 2 : end])
             out.append(f'<div class="table-scroll"><table>\n<thead>{cells("th", line)}</thead>\n<tbody>\n{body}\n</tbody></table></div>')
             k = end

@@ -74,8 +74,10 @@ def convert(spark: SparkSession, path: str, options: ConvertOptions | None = Non
     errors = errors.unionByName(every.where("reader = 'unsupported'").select("doc_id", F.lit(None).cast("int").alias("page"), F.lit("unsupported format").alias("error")))
     if o.pages is not None:
         beyond = pdf_pages.where("page_count IS NOT NULL").groupBy("doc_id").agg(F.max("page_count").alias("n"))
-        highest = max(b for _, b, _ in o.pages.ranges)
-        errors = errors.unionByName(beyond.where(F.col("n") < highest).select("doc_id", F.lit(None).cast("int").alias("page"), F.lit("pages past the last").alias("error")))
+        asked = F.array(*(F.struct(F.lit(b).alias("last"), F.lit(label).alias("part")) for _, b, label in o.pages.ranges))
+        past = F.filter(asked, lambda r: r["last"] > F.col("n"))
+        message = F.concat(F.lit("pages: "), F.array_join(F.transform(past, lambda r: r["part"]), ", "), F.lit(" past the last page, "), F.col("n").cast("string"))
+        errors = errors.unionByName(beyond.where(F.size(past) > 0).select("doc_id", F.lit(None).cast("int").alias("page"), message.alias("error")))
     return {"docs": docs, "lines": lines, "pages": pages, "images": images, "errors": errors}
 
 

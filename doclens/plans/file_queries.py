@@ -299,10 +299,21 @@ def rendered_pages(spark, sf_dir):
 @query(f"""SELECT p_partkey, sha256(replace(regexp_replace({_BODY.format('3. ', '4. ')}, '<[^>]+>', ' ', 'g'), '&amp;', '&')) AS text_sha256 FROM part""")
 def numbered_text(spark, sf_dir):
     """What a reader sees, list numbers included."""
-    html = render.number_lists(render.render_html(F.col("md")))
+    body = T.parse_front_matter(F.col("md"))["body"]
+    html = render.number_lists(render.slide_notes_to_asides(render._render(body), F.lit("ltr")))
     return _markdown(spark, sf_dir).select("p_partkey", F.sha2(T.rendered_text(html), 256).alias("text_sha256"))
 
 
+@query("""SELECT p_partkey, '<p><a href="https://x.org/' || p_partkey || '" title="t">' || p_name || '</a> <img src="a.png" alt="' || p_brand || '"> <del>' || p_type || '</del> <a href="https://y.org/a_b">https://y.org/a_b</a>. bad</p>' || chr(10) || '<ul>' || chr(10) || '<li><input disabled="" type="checkbox"> ' || p_name || '</li>' || chr(10) ||
+  '<li><input checked="" disabled="" type="checkbox"> done</li>' || chr(10) || '</ul>' || chr(10) || '<div class="table-scroll"><table>' || chr(10) || '<thead><tr><th align="left">a</th><th align="center">b</th><th align="right">c</th></tr></thead>' || chr(10) || '<tbody>' || chr(10) ||
+  '<tr><td align="left">' || p_size || '</td><td align="center">x</td><td align="right">y</td></tr>' || chr(10) || '</tbody></table></div>' AS html FROM part""")
+def rendered_links(spark, sf_dir):
+    """Links, images, strikethrough, addresses, boxes and column alignment."""
+    s = lambda c: F.col(c).cast("string")
+    first = F.concat(F.lit("[",), "p_name", F.lit("](https://x.org/"), s("p_partkey"), F.lit(' "t") !['), "p_brand", F.lit("](a.png) ~~"), "p_type", F.lit("~~ https://y.org/a_b. [bad](javascript:x)\n\n- [ ] "), "p_name", F.lit("\n- [x] done\n\n| a | b | c |\n| :-- | :-: | --: |\n| "), s("p_size"), F.lit(" | x | y |"))
+    return table(spark, sf_dir, "part").select("p_partkey", render._render(first).alias("html"))
+
+
 @query("""SELECT doc_id, sha256('---' || chr(10) || 'title: "T"' || chr(10) || 'source: "s"' || chr(10) || 'source_type: ' || lang || chr(10) || 'source_location: "a/' || source || '"' || chr(10) || 'extracted_at: 2024-01-01' || chr(10) || 'content_mode: verbatim' || chr(10) || 'dir: ltr' || chr(10) || '---' || chr(10) || chr(10) || text) AS md_sha256,
   source AS unwrapped FROM documents""")
 def ingest_front_matter(spark, sf_dir):
