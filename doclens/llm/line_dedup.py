@@ -1,22 +1,25 @@
 """Fuzzy line deduplication by MinHash. DataFrame functions only.
 
-A line, lower-cased and trimmed, is the set of its shingles of ``SHINGLE`` characters. Its signature takes each
-shingle's hash once: the hash picks one of ``BINS`` bins and the least hash of each bin is kept (one-permutation
-MinHash). Shingles are generated and reduced within one stage; only a signature for each different line is shuffled.
-Bins go in bands of ``ROWS``. A quarter of the shingles, the same quarter everywhere, leaves the least hashes of nearly
-all bins of a long line as they are. Every line has a signature of its quarter, if that holds any; lines of fewer than
-``ALL_BELOW`` places, and longer ones whose quarter fills fewer than ``FILLED`` bins (rulers, repeated words), have one
-of all their shingles, too. So every line has a band, and two lines of a similarity of 0.8 have a kind of signature in
-common, unless ``FILLED`` bins of one are filled by shingles that the other lacks and nothing of that other is sampled.
+A line, lower-cased and trimmed, is the set of its shingles of ``SHINGLE`` characters. Each different line is taken
+once: repeated lines fall together before any shingle is made. Its signature takes each shingle's hash once: the hash
+picks one of ``BINS`` bins and the least hash of each bin is kept (one-permutation MinHash); an empty bin borrows from
+the next ones. Bands are ``BANDS`` sets of ``ROWS`` bins; with as few rows as would do for small tables, unrelated lines
+would share buckets in numbers that grow with the square of the corpus. A sample of the shingles, chosen by what they
+hold (a shingle that follows a blank), is enough for a long line. Every line has a signature of its sample, if there is
+any; lines of fewer than ``ALL_BELOW`` places, and longer ones whose sample fills fewer than ``FILLED`` bins (rulers,
+repeated words, scripts without blanks), have one of all their shingles, too. So every line has a band, and two lines
+of a similarity of 0.8 have a kind of signature in common, unless ``FILLED`` bins of one are filled by shingles that the
+other lacks and nothing of that other is sampled.
 
 Every pair that shares a bucket is compared, unless its lines are known to be joined already. First, every line is
 compared with the bucket's first line and with the one before it, in an order of each band's own, which joins most
-groups; then, in the buckets that still hold several groups, all pairs of different groups. Large buckets are cut into
+groups; then, in the buckets of more than three lines that still hold several groups, all pairs of different groups that
+have not been compared before (of two or three lines, all pairs have been). Large buckets are cut into
 blocks, and each pair of blocks is compared by a task's join. Each line has a bitmap of ``WORDS`` * 64 bits of its
 shingles' hashes: bitmaps differ in no more bits than the sets do in shingles, so pairs whose bitmaps differ in more
-than the threshold allows are left out without loss; for the others the Jaccard similarity of the whole shingle sets
-decides. Linked lines are joined by distributed union-find, and of each component the first occurrence by doc_id and
-place stays.
+than the threshold allows are left out without loss; for the others the Jaccard similarity of the whole shingle sets,
+as 64-bit hashes, decides. Linked lines are joined by distributed
+union-find, and of each component the first occurrence by doc_id and place stays.
 """
 
 from __future__ import annotations
@@ -30,9 +33,10 @@ from doclens.llm.store import materialise
 
 SHINGLE = 8
 THRESHOLD = 0.8
-BINS, ROWS = 24, 3  # 8 bands of 3: at 0.8 a pair shares a bucket with probability 0.997, at 0.3 with 0.2
-ALL_BELOW, FILLED = 80, 12  # places; bins
-WORDS = 8  # of 64 bits, in a bitmap
+BINS, ROWS, BANDS = 32, 4, 16  # at 0.8 a pair shares a bucket with probability 0.996, at 0.3 with 0.12, at 0.02 with 3e-6
+BORROW = (0, 5, 11, 18)  # the bin itself and those that an empty one borrows from, in turn
+ALL_BELOW, FILLED = 100, 10  # places; bins
+WORDS = 16  # of 64 bits, in a bitmap
 BLOCK = 256  # lines of a bucket that are compared at once
 SMALL_KEYS, SMALL_ROWS = 2_000_000, 500_000  # of 8 bytes; of a document with its dropped places
 
@@ -47,58 +51,95 @@ def normal(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, row, ix, norm, key of every line that isn't blank. row tells rows apart that share a doc_id."""
-    row = F.xxhash64("doc_id", "text").alias("row")
-    every = docs.select("doc_id", row, F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ix", "line"))
-    return every.select("doc_id", "row", "ix", normal("line").alias("norm")).where("norm <> ''").withColumn("key", F.xxhash64("norm"))
+    # parts and row are columns of their own, so that they are made once a document and not once a line
+    parts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.split(F.coalesce("text", F.lit("")), "\n").alias("parts"))
+    every = parts.select("doc_id", "row", F.posexplode("parts").alias("ix", "line")).where(F.trim("line") != "")
+    return every.select("doc_id", "row", "ix", normal("line").alias("norm")).withColumn("key", F.xxhash64("norm"))
+
+
+def distinct_lines(lines: DataFrame) -> DataFrame:
+    """key, norm of each different line, repeated ones gone before the shuffle."""
+    return lines.groupBy("key").agg(F.min("norm").alias("norm"))
+
+
+def _units(norm: Column) -> Column:
+    """Four bytes a code point, so that a shingle is a slice."""
+    return F.encode(norm, "UTF-32")
 
 
 def _shingle_count(units: Column) -> Column:
+    """Places at which a shingle begins; a line shorter than one has one, all of it."""
     return F.greatest((F.length(units) / 4).cast("int") - (SHINGLE - 1), F.lit(1))
 
 
+def _hash_at(units: Column, i: Column) -> Column:
+    return F.xxhash64(F.substring(units, i * 4 + 1, F.lit(SHINGLE * 4)))
+
+
 def shingles(norm: Column) -> Column:
-    """The shingles of a line, repeats included; of a line shorter than one, all of it. One regular expression finds
-    them all: a lookahead at each place, but not inside a surrogate pair."""
-    found = F.regexp_extract_all(norm, F.lit(r"(?s)(?![\x{DC00}-\x{DFFF}])(?=(.{%d}))" % SHINGLE), F.lit(1))
-    return F.when(F.length(norm) < SHINGLE, F.array(norm)).otherwise(found)
+    """The hashes of the different shingles of a line."""
+    # the units are bound to a lambda's variable, as a column of bytes would be copied for each shingle
+    hashes = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _shingle_count(u) - 1), lambda i: _hash_at(u, i)))
+    return F.get(F.transform(F.array(_units(norm)), hashes), F.lit(0))
 
 
-def _bins(lines: DataFrame, kind: int) -> DataFrame:
-    """key, n, b0, b1, ...: the least hash in each bin, of a quarter of the shingles (kind 1) or of all (kind 0)."""
-    each = lines.select("key", F.encode("norm", "UTF-32").alias("units")).withColumn("n", _shingle_count(F.col("units")))
+def _all_hashes(texts: DataFrame) -> DataFrame:
+    """key, n (places), h of each shingle, repeats included."""
+    each = texts.select("key", _units(F.col("norm")).alias("units")).withColumn("n", _shingle_count(F.col("units")))
     each = each.select("key", "units", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    each = each.select("key", "n", F.xxhash64(F.substring("units", F.col("i") * 4 + 1, F.lit(SHINGLE * 4))).alias("h"))
-    each = each.where(F.shiftrightunsigned("h", 62) == 0) if kind else each
-    each = each.select("key", "n", F.pmod("h", F.lit(BINS)).cast("int").alias("bin"), F.shiftrightunsigned("h", 33).cast("int").alias("v"))
+    return each.select("key", "n", _hash_at(F.col("units"), F.col("i")).alias("h"))
+
+
+def _some_hashes(texts: DataFrame) -> DataFrame:
+    """The same of the shingles that follow a blank; a match of the expression is one."""
+    found = F.regexp_extract_all("norm", F.lit(r"(?s) (?=(.{%d}))" % SHINGLE), F.lit(1))
+    each = texts.select("key", F.length("norm").alias("length"), F.explode(found).alias("s"))
+    return each.select("key", (F.col("length") - (SHINGLE - 1)).alias("n"), F.xxhash64("s").alias("h"))
+
+
+def _bins(hashes: DataFrame) -> DataFrame:
+    """key, n, b0, b1, ...: the least hash in each bin."""
+    each = hashes.select("key", "n", F.col("h").bitwiseAND(BINS - 1).cast("int").alias("bin"), F.shiftrightunsigned("h", 33).cast("int").alias("v"))
     return each.groupBy("key").agg(F.max("n").alias("n"), *(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"b{b}") for b in range(BINS)))
 
 
+def band_bins() -> list[list[int]]:
+    """The bins of each band: the strides of a round over the bins give each bin to equally many bands, and two bands
+    have one bin in common at most."""
+    rounds = BANDS * ROWS // BINS
+    per = BINS // ROWS
+    return [[(b + 3 * k * r) % per + r * per for r in range(ROWS)] for k in range(rounds) for b in range(per)]
+
+
 def _buckets(bins: DataFrame, kind: int) -> DataFrame:
+    filled = sum((F.col(f"b{b}").isNotNull().cast("int") for b in range(1, BINS)), F.col("b0").isNotNull().cast("int"))
+    dense = bins.select("key", "n", filled.alias("filled"), *(F.coalesce(*(F.col(f"b{(b + o) % BINS}") for o in BORROW)).alias(f"d{b}") for b in range(BINS)))
     bands = []
-    for b in range(0, BINS, ROWS):
-        own = [F.col(f"b{b + r}") for r in range(ROWS)]
+    for band, own in enumerate(band_bins()):
         # a band without any shingle says nothing
-        bands.append(F.when(F.coalesce(*own).isNotNull(), F.xxhash64(F.lit(b), F.lit(kind), *(F.coalesce(x, F.lit(0)) for x in own))))
-    filled = sum((F.col(f"b{b}").isNotNull().cast("int") for b in range(1, BINS)), F.col("b0").isNotNull().cast("int"))
-    return bins.select("key", F.array_compact(F.array(*bands)).alias("buckets"), ((F.col("n") >= ALL_BELOW) & (filled >= FILLED)).alias("enough"))
+        some = F.coalesce(*(F.col(f"d{b}") for b in own)).isNotNull()
+        bands.append(F.when(some, F.xxhash64(F.lit(band), F.lit(kind), *(F.coalesce(f"d{b}", F.lit(-1)) for b in own))))
+    return dense.select("key", F.array_compact(F.array(*bands)).alias("buckets"), ((F.col("n") >= ALL_BELOW) & (F.col("filled") >= FILLED)).alias("enough"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
     """key, buckets array<bigint> for each different line and kind of signature; lines: key, norm."""
-    some = materialise(_buckets(_bins(lines, 1), 1), "line-signatures")
-    # short lines, lines whose quarter says little, and lines with nothing in it
+    some = materialise(_buckets(_bins(_some_hashes(distinct_lines(lines))), 1), "line-signatures")
+    # short lines, lines whose sample says little, and lines with nothing in it
     enough = some.where("enough").select("key")
-    rest = lines.select("key", "norm").join(_small(enough, SMALL_KEYS), "key", "left_anti")
-    rest = materialise(_buckets(_bins(rest, 0), 0).select("key", "buckets"), "line-signatures")
+    short = F.length("norm") < ALL_BELOW + SHINGLE - 1
+    rest = lines.select("key", "norm")
+    rest = rest.where(short).unionByName(rest.where(~short).join(_small(enough, SMALL_KEYS), "key", "left_anti"))
+    rest = materialise(_buckets(_bins(_all_hashes(distinct_lines(rest))), 0).select("key", "buckets"), "line-signatures")
     return some.select("key", "buckets").unionByName(rest)
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
-    """key, n (different shingles), w0, w1, ...: a bit for each shingle's hash; texts: key, norm."""
-    each = texts.select("key", F.explode(F.array_distinct(shingles(F.col("norm")))).alias("s")).select("key", F.xxhash64("s").alias("h"))
-    each = each.select("key", F.expr(f"CAST(shiftrightunsigned(h, 6) & {WORDS - 1} AS INT)").alias("word"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
+    """key, n (places, no fewer than different shingles), w0, w1, ...: a bit for each shingle's hash; texts: key, norm."""
+    each = _all_hashes(texts)
+    each = each.select("key", "n", F.expr(f"CAST(shiftrightunsigned(h, 6) & {WORDS - 1} AS INT)").alias("word"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
     words = (F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(WORDS))
-    return each.groupBy("key").agg(F.count("*").alias("n"), *words)
+    return each.groupBy("key").agg(F.max("n").alias("n"), *words)
 
 
 def _may_link(x: Column, y: Column, threshold: float) -> Column:
@@ -108,11 +149,11 @@ def _may_link(x: Column, y: Column, threshold: float) -> Column:
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b"), (x["n"] + y["n"]).alias("total")]
+    return [F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")]
 
 
 def first_pairs(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, total: each line of a bucket with the bucket's first and with its neighbour; members: bucket, m."""
+    """a, b: each line of a bucket with the bucket's first and with its neighbour; members: bucket, m."""
     order = Window.partitionBy("bucket").orderBy(F.xxhash64("m.key", "bucket"), "m.key")
     placed = members.select("m", F.first("m").over(order).alias("hub"), F.lag("m").over(order).alias("before"))
     pairs = placed.select("m", F.explode(F.array("hub", "before")).alias("o")).where(F.col("m.key") != F.col("o.key"))
@@ -120,10 +161,10 @@ def first_pairs(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def other_pairs(members: DataFrame, marks: DataFrame, components: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b, total: all pairs of a bucket that are in different components(key, component); members: bucket, key."""
+    """a, b: all pairs of a bucket that are in different components(key, component); members: bucket, key."""
     rooted = members.join(_small(components, SMALL_KEYS), "key", "left")
     rooted = materialise(rooted.select("bucket", "key", F.coalesce("component", "key").alias("root")), "line-rooted")
-    mixed = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    mixed = rooted.groupBy("bucket").agg(F.count("*").alias("n"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most AND n > 3")
     mixed = materialise(mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "line-mixed")
     dealt = rooted.join(_small(mixed, SMALL_KEYS), "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.join(marks, "key").select("bucket", "root", "blocks", "block", F.struct(*marks.columns).alias("m"))
@@ -136,12 +177,11 @@ def other_pairs(members: DataFrame, marks: DataFrame, components: DataFrame, thr
 
 
 def verified_pairs(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b of the pairs(a, b, total) whose shingle sets have a Jaccard similarity of threshold or more; total is the
-    sum of their sizes; texts: key, norm."""
+    """a, b of the pairs(a, b) whose shingle sets have a Jaccard similarity of threshold or more; texts: key, norm."""
     side = lambda k, x: texts.select(F.col("key").alias(k), F.col("norm").alias(x))
-    sides = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
-    common = sides.select("a", "b", "total", F.size(F.array_intersect(shingles(F.col("x")), shingles(F.col("y")))).alias("c"))
-    return common.where(F.col("c") >= threshold * (F.col("total") - F.col("c")) - 1e-9).select("a", "b")
+    sides = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return sides.where(common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
 
 
 def links_between(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -150,13 +190,14 @@ def links_between(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     shared = materialise(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "line-buckets")
     members = materialise(each.join(_small(shared, SMALL_KEYS), "bucket", "left_semi"), "line-members")
     wanted = materialise(members.select("key").distinct(), "line-keys")
-    texts = lines.select("key", "norm").join(_small(wanted, SMALL_KEYS), "key", "left_semi").groupBy("key").agg(F.min("norm").alias("norm"))
-    texts = materialise(texts, "line-texts")
+    texts = materialise(distinct_lines(lines.select("key", "norm").join(_small(wanted, SMALL_KEYS), "key", "left_semi")), "line-texts")
     marks = materialise(bitmaps(texts), "line-bitmaps")
     marked = members.join(marks, "key").select("bucket", F.struct(*marks.columns).alias("m"))
-    links = materialise(verified_pairs(texts, materialise(first_pairs(marked, threshold), "line-pairs"), threshold), "line-links")
+    compared = materialise(first_pairs(marked, threshold), "line-pairs")
+    links = materialise(verified_pairs(texts, compared, threshold), "line-links")
     components = connected_components(links, "line-groups").withColumnRenamed("id", "key")
-    more = verified_pairs(texts, materialise(other_pairs(members, marks, components, threshold), "line-pairs"), threshold)
+    others = other_pairs(members, marks, components, threshold).join(compared, ["a", "b"], "left_anti")
+    more = verified_pairs(texts, materialise(others, "line-pairs"), threshold)
     return links.unionByName(materialise(more, "line-links"))
 
 
@@ -171,10 +212,13 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     lines = _lines(docs)
     places = materialise(lines.select("doc_id", "row", "ix", "key"), "line-places")
     components = connected_components(links_between(lines, threshold), "lines").withColumnRenamed("id", "key")
-    grouped = places.join(_small(components, SMALL_KEYS), "key", "left").select("doc_id", "row", "ix", F.coalesce("component", "key").alias("line"))
     place = F.struct("doc_id", "row", "ix")
-    first = grouped.groupBy("line").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("line", "first")
-    dropped = grouped.join(first, "line").where(~place.eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("ix").alias("dropped"))
+    # one row for each different line before groups meet, so that a line that fills a third of all places is one row
+    keys = places.groupBy("key").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(_small(components, SMALL_KEYS), "key", "left")
+    keys = materialise(keys.select("key", "first", "n", F.coalesce("component", "key").alias("line")), "line-places")
+    groups = keys.groupBy("line").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("line", "first")
+    repeated = materialise(keys.select("key", "line").join(groups, "line").select("key", "first"), "line-repeated")
+    dropped = places.join(_small(repeated, SMALL_KEYS), "key").where(~place.eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("ix").alias("dropped"))
     dropped = materialise(dropped.withColumnRenamed("row", "dropped_of"), "line-dropped")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_kept_lines")]
     own = F.xxhash64("doc_id", "text")

@@ -2,7 +2,7 @@
 
 Iterative operators cut their lineage by writing a table under the folder that the cluster names in
 ``spark.checkpoint.dir`` and reading it back: every executor sees that folder, so a lost executor costs a
-re-read and no recomputation. Where the setting is absent (tests, a laptop) a temporary folder is set instead.
+re-read and no recomputation. Where the setting is absent, a local master (tests, a laptop) gets a temporary folder; any other is refused.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; removed when the driver ends."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='doclens-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/doclens-{name}-{uuid.uuid4().hex}"
