@@ -15,10 +15,11 @@ Every pair that shares a bucket is compared, unless its lines are known to be jo
 compared with the bucket's first line and with the one before it, in an order of each band's own, which joins most
 groups; then, in the buckets of more than three lines that still hold several groups, all pairs of different groups that
 have not been compared before (of two or three lines, all pairs have been). Large buckets are cut into
-blocks, and each pair of blocks is compared by a task's join. Each line has a bitmap of ``WORDS`` * 64 bits of its
-shingles' hashes: bitmaps differ in no more bits than the sets do in shingles, so pairs whose bitmaps differ in more
-than the threshold allows are left out without loss; for the others the Jaccard similarity of the whole shingle sets,
-as 64-bit hashes, decides. Linked lines are joined by distributed
+blocks, and each pair of blocks is compared by a task's join. Each line has a bitmap of ``WORDS`` * 64 bits, each the
+parity of its shingles whose hashes fall there: a shingle that only one of two lines has turns one bit, so bitmaps
+differ in no more bits than the sets do in shingles, and pairs whose bitmaps differ in more than the threshold allows
+are left out without loss; for the others the Jaccard similarity of the whole shingle sets, as 64-bit hashes, decides.
+What the lines share turns no bit, so that long lines are told apart as well as short ones. Linked lines are joined by distributed
 union-find, and of each component the first occurrence by doc_id and place stays.
 """
 
@@ -58,8 +59,9 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def distinct_lines(lines: DataFrame) -> DataFrame:
-    """key, norm of each different line, repeated ones gone before the shuffle."""
-    return lines.groupBy("key").agg(F.min("norm").alias("norm"))
+    """key, norm of each different line, repeated ones gone before the shuffle. Texts are grouped by, since an aggregate
+    of them would be sorted for."""
+    return lines.select("key", "norm").distinct()
 
 
 def _units(norm: Column) -> Column:
@@ -135,11 +137,11 @@ def signatures(lines: DataFrame) -> DataFrame:
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
-    """key, n (places, no fewer than different shingles), w0, w1, ...: a bit for each shingle's hash; texts: key, norm."""
-    each = _all_hashes(texts)
-    each = each.select("key", "n", F.expr(f"CAST(shiftrightunsigned(h, 6) & {WORDS - 1} AS INT)").alias("word"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
-    words = (F.bit_or(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(WORDS))
-    return each.groupBy("key").agg(F.max("n").alias("n"), *words)
+    """key, n (different shingles), w0, w1, ...: the parity of the shingles that fall on each bit; texts: key, norm."""
+    each = texts.select("key", F.explode(shingles(F.col("norm"))).alias("h"))
+    each = each.select("key", F.expr(f"CAST(shiftrightunsigned(h, 6) & {WORDS - 1} AS INT)").alias("word"), F.expr("shiftleft(1L, CAST(h & 63 AS INT))").alias("bit"))
+    words = (F.bit_xor(F.when(F.col("word") == w, F.col("bit")).otherwise(F.lit(0).cast("bigint"))).alias(f"w{w}") for w in range(WORDS))
+    return each.groupBy("key").agg(F.count("*").alias("n"), *words)
 
 
 def _may_link(x: Column, y: Column, threshold: float) -> Column:
