@@ -13,6 +13,7 @@ pass ``max_pending`` and the rest of that piece is merged directly.
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
@@ -255,6 +256,15 @@ class Codec:
         self.pieces = _Pieces(BpeTransducer(ranks, max_states=states), states * 4 // 5)
         self.decoder = StreamDecoder(ranks)
 
+    def forget(self) -> None:
+        """Give back what texts have added; a worker outlives its tasks and waits beside other stages."""
+        import pyarrow as pa
+
+        self.pieces.clear()
+        self.pieces.transducer._reset()
+        gc.collect()  # states point at each other
+        pa.default_memory_pool().release_unused()
+
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces
         return list(chain.from_iterable([pieces[p][0] for p in self.split(text)]))
@@ -313,6 +323,7 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, states: int = 100
                     keys, ids, texts, chars = [], [], [], 0
             if keys:
                 yield made(keys, ids, texts)
+        own.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, ids array<int>, text string")
 
@@ -331,5 +342,6 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        own.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
