@@ -342,6 +342,5 @@ def digest_documents(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        own.forget()
 
     return docs.select("doc_id", "text").mapInArrow(run, ENCODED)
