@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 import zlib
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -40,26 +41,22 @@ def words_of(text: str | None) -> list[str]:
     return _WORD(text.lower()) if text else []
 
 
-def _codes(word: str) -> np.ndarray:
-    """Boundary, the characters, boundary. Words of over 64 characters are read in full, too."""
-    return np.array([2, *map(ord, word), 3], np.uint64)
-
-
 def ngram_cells(words: list[str], bits: int = BITS, order: int = ORDER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each predicted character of the words: the index of its word; by order 1..order the hash of the n-gram,
-    and of its context. Where a word is too short for an order the longer context begins with blanks."""
-    codes = [_codes(w) for w in words]
-    owner = np.repeat(np.arange(len(words)), [len(c) - 1 for c in codes])
+    and of its context. A word is a boundary, its characters, however many, and a boundary. Where it is too short for
+    an order the longer context begins with blanks."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    owner = np.repeat(np.arange(len(words)), lengths)
     grams = np.empty((order, len(owner)), np.int64)
     contexts = np.empty((order, len(owner)), np.int64)
     if not len(owner):
         return owner, grams, contexts
     # all words in one row, order-1 blanks before each; then every shift is a slice
     shift = np.uint64(64 - bits)
-    pad = np.zeros(order - 1, np.uint64)
-    flat = np.concatenate([x for c in codes for x in (pad, c)])
-    start = np.cumsum([0] + [len(c) + order - 1 for c in codes[:-1]]) + order - 1
-    at = np.concatenate([np.arange(s + 1, s + len(c)) for s, c in zip(start, codes)])
+    before, after = "\0" * (order - 1) + "\2", "\3"
+    row = before + (after + before).join(words) + after
+    flat = np.frombuffer(row.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    at = np.arange(len(owner)) + (owner + 1) * order
     context = np.zeros(len(at), np.uint64)
     for n in range(1, order + 1):
         if n > 1:
@@ -83,7 +80,8 @@ class Table:
         high = (self.keys >> self.shift) + (1 << 63 - self.shift)
         self.starts = np.searchsorted(high, np.arange((1 << 64 - self.shift) + 1)).astype(np.int32)
 
-    def find(self, x: np.ndarray) -> list[np.ndarray]:
+    def places(self, x: np.ndarray) -> np.ndarray:
+        """Where the keys x are; the number of keys for one that isn't there."""
         high = (x >> self.shift) + (1 << 63 - self.shift)
         at, end = self.starts[high], self.starts[high + 1]
         todo = np.flatnonzero(at < end)
@@ -94,6 +92,10 @@ class Table:
         n = len(self.keys)
         if n:
             at[self.keys[np.minimum(at, n - 1)] != x] = n
+        return at
+
+    def find(self, x: np.ndarray) -> list[np.ndarray]:
+        at = self.places(x)
         return [c[at] for c in self.columns]
 
 
@@ -116,35 +118,49 @@ class KneserNey:
         if not len(owner):
             return np.zeros(len(words))
         ordinary = toxic = self.base.find(grams[0])[0].astype(np.float64)
+        live = np.arange(len(owner))  # places whose context is known; a longer one of any other place isn't, either
         for n in range(1, self.order):
-            mine, its = self.seen[n - 1].find(grams[n])
-            back, its_back, prior = self.rest[n - 1].find(contexts[n])
-            ordinary = mine + back * ordinary
-            toxic = its + its_back * toxic + prior * ordinary
+            table, rest = self.seen[n - 1], self.rest[n - 1]
+            at = rest.places(contexts[n, live])
+            known = at < len(rest.keys)
+            live, at = live[known], at[known]
+            back, its_back, prior = (c[at] for c in rest.columns)
+            mine, its = table.find(grams[n, live])
+            mine = mine + back * ordinary[live]
+            its = its + its_back * toxic[live] + prior * mine
+            none = [c[-1] for c in rest.columns]
+            ordinary = none[0] * ordinary
+            toxic = none[1] * toxic + none[2] * ordinary
+            ordinary[live], toxic[live] = mine, its
         return np.bincount(owner, np.log(np.maximum(toxic, 1e-12)) - np.log(np.maximum(ordinary, 1e-12)), len(words))
 
 
-def count_cells(words: list[str], counts: np.ndarray, bits: int = BITS, order: int = ORDER) -> list[tuple[int, int, tuple[np.ndarray, ...]]]:
-    """Sums over words with counts (n, classes): class, order - 1, and for each n-gram its hash, tokens, hash of
+def count_cells(words: list[str], counts: np.ndarray, bits: int = BITS, order: int = ORDER) -> list[tuple[int, tuple[np.ndarray, ...]]]:
+    """Sums over words with counts (n, classes): order - 1, and for each n-gram its hash, tokens (n, classes), hash of
     its context, hash of the n-gram one shorter, and whether it reaches beyond the word's beginning."""
     owner, grams, contexts = ngram_cells(words, bits, order)
-    begin = np.concatenate([np.arange(1, len(w) + 2) for w in words]) if words else np.zeros(0, int)
+    begin = np.arange(1, len(owner) + 1) - np.searchsorted(owner, np.arange(len(words)))[owner] if words else np.zeros(0, int)
     out = []
-    for c in range(counts.shape[1]):
-        w = counts[owner, c]
-        keep = w > 0
-        for n in range(order):
-            cell, first, back = np.unique(grams[n][keep], return_index=True, return_inverse=True)
-            of = lambda a: a[keep][first]
-            out.append((c, n, (cell, np.bincount(back, w[keep], len(cell)), of(contexts[n]), of(grams[n - 1] if n else grams[n] * 0), of(begin < n))))
+    for n in range(order):
+        by = np.argsort(grams[n])
+        cell = grams[n][by]
+        starts = np.flatnonzero(np.append(True, cell[1:] != cell[:-1])) if len(cell) else np.zeros(0, int)
+        first = by[starts]
+        tokens = np.add.reduceat(counts[owner[by]], starts) if len(cell) else np.zeros((0, counts.shape[1]))
+        out.append((n, (cell[starts], tokens, contexts[n][first], grams[n - 1][first] if n else np.zeros(len(first), np.int64), begin[first] < n)))
     return out
 
 
-def build_model(cells: list[tuple[int, int, tuple[np.ndarray, ...]]], bits: int = BITS, order: int = ORDER, prior: float = PRIOR) -> KneserNey:
-    """The tables from sums in which no n-gram of a class and order comes twice."""
-    by = {(c, n): [np.concatenate(x) for x in zip(*(p for d, m, p in cells if (d, m) == (c, n)))] for c, n in {x[:2] for x in cells}}
-    nothing = [np.zeros(0, np.int64)] * 4 + [np.zeros(0, bool)]
-    of = lambda c, n: by.get((c, n)) or nothing
+def build_model(cells: list[tuple[int, tuple[np.ndarray, ...]]], bits: int = BITS, order: int = ORDER, prior: float = PRIOR) -> KneserNey:
+    """The tables from sums, tokens by ordinary and toxic, in which no n-gram of an order comes twice."""
+    by: dict[tuple[int, int], list[np.ndarray]] = {}
+    for n in range(order):
+        parts = [p for m, p in cells if m == n] or [(np.zeros(0, np.int64), np.zeros((0, 2)), *[np.zeros(0, np.int64)] * 2, np.zeros(0, bool))]
+        cell, tokens, *rest = (np.concatenate(x) for x in zip(*parts))
+        for c in (0, 1):
+            own = tokens[:, c] > 0
+            by[c, n] = [x[own] for x in (cell, tokens[:, c], *rest)]
+    of = lambda c, n: by[c, n]
     keys = [np.unique(np.concatenate([of(c, n)[0] for c in (0, 1)])) for n in range(order)]
     at = {(c, n): np.searchsorted(keys[n], of(c, n)[0]) for c in (0, 1) for n in range(order)}
     counts = [[np.zeros(len(k)) for k in keys] for _ in range(2)]
@@ -184,11 +200,25 @@ def document_features(ratios: np.ndarray, lengths: np.ndarray) -> tuple[float, f
     return (float(ratios.sum() / (lengths.sum() + 300)), float(ratios.max()), float((ratios / lengths).max()), float((ratios > 4).sum() / (len(ratios) + 20)))
 
 
+class _Numbers(dict):
+    """word -> its number; a word that is asked for the first time gets the next one."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
+
+
 class Scorer:
     """Features of texts; the ratio of a word is kept, up to ``size`` words."""
 
     def __init__(self, model: KneserNey, size: int = 200_000):
-        self.model, self.size, self.known = model, size, {}
+        self.model, self.size = model, size
+        self._forget()
+
+    def _forget(self) -> None:
+        self.numbers = _Numbers()
+        self.ratios = np.zeros(0)  # by number
+        self.lengths = np.zeros(0)
 
     def features(self, texts: list[str | None]) -> np.ndarray:
         out, at = np.zeros((len(texts), 4)), 0
@@ -202,18 +232,15 @@ class Scorer:
         return out
 
     def _fill(self, texts: list[str | None], out: np.ndarray) -> None:
-        split = [words_of(t) for t in texts]
-        if len(self.known) > self.size:
-            self.known.clear()
-        known = self.known
-        new = list({w for ws in split for w in ws if w not in known})
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            known.update(zip(part, self.model.ratio(part).tolist()))
-        for i, ws in enumerate(split):
-            if ws:
-                r = np.fromiter(map(known.__getitem__, ws), np.float64, len(ws))
-                out[i] = document_features(r, np.fromiter(map(len, ws), np.float64, len(ws)) + 1)
+        if len(self.numbers) > self.size:
+            self._forget()
+        ids = [np.fromiter(map(self.numbers.__getitem__, ws), np.int64, len(ws)) for ws in map(words_of, texts)]
+        new = list(islice(self.numbers, len(self.ratios), None))
+        parts = [new[i : i + 20_000] for i in range(0, len(new), 20_000)]
+        self.ratios = np.concatenate([self.ratios, *map(self.model.ratio, parts)])
+        self.lengths = np.concatenate([self.lengths, np.fromiter(map(len, new), np.float64, len(new)) + 1])
+        for i, own in enumerate(ids):
+            out[i] = document_features(self.ratios[own], self.lengths[own])
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -250,7 +277,8 @@ def _labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def train_models(rows: DataFrame, bits: int = BITS, order: int = ORDER) -> tuple[KneserNey, KneserNey]:
     """From rows(text, label, calibrates): a model of those that don't calibrate, and one of all."""
 
-    columns = ["slot", "cell", "n", "every", "context", "shorter", "opens"]
+    kinds = ["ordinary", "toxic", "ordinary_calibrates", "toxic_calibrates"]
+    columns = ["slot", "cell", *kinds, "context", "shorter", "opens"]
 
     def count(batches):
         import pyarrow as pa
@@ -259,11 +287,10 @@ def train_models(rows: DataFrame, bits: int = BITS, order: int = ORDER) -> tuple
 
         def flush():
             names = list(sums)
-            counts = np.array([sums[w] for w in names], np.float64).reshape(-1, 4)
-            for c, n, (cell, tokens, context, shorter, opens) in count_cells(names, counts, bits, order):
-                slot = np.full(len(cell), c % 2 * order + n, np.int32)
-                tokens = tokens.astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slot, cell, tokens * (c < 2), tokens, context, shorter, opens)], names=columns)
+            counts = np.array(list(sums.values()), np.int64).reshape(-1, 4)
+            for n, (cell, tokens, *rest) in count_cells(names, counts, bits, order):
+                slot = np.full(len(cell), n, np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (slot, cell, *np.ascontiguousarray(tokens.T, np.int64), *rest)], names=columns)
 
         for batch in batches:
             for text, label, calibrates in zip(*(batch.column(i).to_pylist() for i in range(3))):
@@ -276,23 +303,24 @@ def train_models(rows: DataFrame, bits: int = BITS, order: int = ORDER) -> tuple
                 sums.clear()
         yield from flush()
 
-    sent = rows.select("text", "label", "calibrates").mapInArrow(count, "slot int, cell bigint, n bigint, every bigint, context bigint, shorter bigint, opens boolean")
-    table = sent.groupBy("slot", "cell").agg(F.sum("n").alias("n"), F.sum("every").alias("every"), *(F.max(c).alias(c) for c in columns[4:]))
-    kinds = (np.int32, *[np.int64] * 5, np.bool_)
+    schema = ", ".join(["slot int", *(f"{c} bigint" for c in columns[1:-1]), "opens boolean"])
+    sent = rows.select("text", "label", "calibrates").mapInArrow(count, schema)
+    table = sent.groupBy("slot", "cell").agg(*(F.sum(c).alias(c) for c in kinds), *(F.max(c).alias(c) for c in columns[6:]))
+    types = (np.int32, *[np.int64] * 7, np.bool_)
 
     def pack(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy(zero_copy_only=False).astype(t).tobytes()]) for i, t in enumerate(kinds)], names=columns)
+            yield pa.RecordBatch.from_arrays([pa.array([batch.column(i).to_numpy(zero_copy_only=False).astype(t).tobytes()]) for i, t in enumerate(types)], names=columns)
 
     some, every = [], []
     for r in table.mapInArrow(pack, ", ".join(f"{c} binary" for c in columns)).toLocalIterator():
-        slot, cell, n, total, *rest = (np.frombuffer(x, t) for x, t in zip(r, kinds))
-        for s in np.unique(slot):
-            for out, tokens in ((some, n), (every, total)):
-                own = (slot == s) & (tokens > 0)
-                out.append((int(s) // order, int(s) % order, tuple(x[own] for x in (cell, tokens, *rest))))
+        slot, cell, a, b, c, d, *rest = (np.frombuffer(x, t) for x, t in zip(r, types))
+        for n in range(order):
+            own = slot == n
+            for out, tokens in ((some, (a, b)), (every, (a + c, b + d))):
+                out.append((n, (cell[own], np.column_stack(tokens)[own], *(x[own] for x in rest))))
     return build_model(some, bits, order), build_model(every, bits, order)
 
 
