@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclens.llm.components import connected_components
-from doclens.llm.store import materialise
+from doclens.llm.store import give_back, materialise
 
 WIDTH = 5
 THRESHOLD = 0.8
@@ -198,16 +198,17 @@ def signature_table(docs: DataFrame) -> DataFrame:
 
         own = Shingler()
         for batch in batches:
-            ids, texts = (batch.column(i).to_pylist() for i in range(2))
+            ids, texts = batch.column(0).to_pylist(), batch.column(1)
             at = 0
             while at < len(ids):
                 bags, kept, chars = [], [], 0
                 while at < len(ids) and len(bags) < 512 and chars < 2_000_000:
-                    s = own.shingles(texts[at])
+                    text = texts[at].as_py()
+                    s = own.shingles(text)
                     if len(s):
                         bags.append(multiset(s))
                         kept.append(ids[at])
-                    chars += len(texts[at] or "")
+                    chars += len(text or "")
                     at += 1
                 if not bags:
                     continue
@@ -219,6 +220,8 @@ def signature_table(docs: DataFrame) -> DataFrame:
                     [pa.array(kept, pa.int64()), pa.array([int(n.sum()) for _, n in bags], pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(offsets, flat)],
                     names=["doc_id", "n_items", "key", "bands"],
                 )
+        del own
+        give_back()
 
     return docs.select("doc_id", "text").where(F.col("doc_id").isNotNull()).mapInArrow(run, "doc_id bigint, n_items bigint, key binary, bands array<bigint>")
 
@@ -258,6 +261,8 @@ def verified_links(docs: DataFrame, families: DataFrame) -> DataFrame:
                         out, size = [], 0
             if out:
                 yield made()
+        del own
+        give_back()
 
     def compared(batches):
         import pyarrow as pa

@@ -13,7 +13,6 @@ pass ``max_pending`` and the rest of that piece is merged directly.
 from __future__ import annotations
 
 import base64
-import gc
 import hashlib
 from collections.abc import Iterable, Iterator
 from heapq import heapify, heappop, heappush
@@ -21,6 +20,8 @@ from itertools import chain
 
 from pyspark.sql import DataFrame
 
+from doclens.llm.store import give_back
+
 STATES = 250_000  # kept by a transducer; forgotten together when there are more
 SLICE = 500_000  # characters whose ids are held at once, beside those of one text
 ENCODED = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -258,12 +259,9 @@ class Codec:
 
     def forget(self) -> None:
         """Give back what texts have added; a worker outlives its tasks and waits beside other stages."""
-        import pyarrow as pa
-
         self.pieces.clear()
         self.pieces.transducer._reset()
-        gc.collect()  # states point at each other
-        pa.default_memory_pool().release_unused()
+        give_back()  # states point at each other
 
     def encode(self, text: str) -> list[int]:
         pieces = self.pieces

@@ -18,6 +18,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from doclens.llm.store import give_back
+
+SLICE = 512  # rows that are kept or rejected at once
 MAX_ROWS = 40_000
 FEATURES = (
     "log_chars", "word_length", "symbols", "upper", "digits", "exclaim", "bars", "distinct_words", "top_word", "repeated_lines",
@@ -201,9 +204,11 @@ def keep_good(docs: DataFrame, model: Gam, threshold: float = 0.5) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index("text")).to_pylist()
-            x = np.array([features(t) for t in texts], np.float64).reshape(-1, len(FEATURES))
-            yield batch.filter(pa.array(model.score(x) >= threshold))
+            texts = batch.column(batch.schema.get_field_index("text"))
+            for i in range(0, len(texts), SLICE):  # so that few texts are there as Python strings
+                x = np.array([features(t.as_py()) for t in texts.slice(i, SLICE)], np.float64).reshape(-1, len(FEATURES))
+                yield batch.slice(i, SLICE).filter(pa.array(model.score(x) >= threshold))
+        give_back()
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -8,6 +8,8 @@ re-read and no recomputation. Where the setting is absent, a local master (tests
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
 import shutil
 import tempfile
 import uuid
@@ -38,6 +40,19 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def give_back() -> None:
+    """At the end of a task: return a Python worker's free memory to the system. A worker outlives its tasks and waits
+    beside other stages, whose executor it shares."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library than glibc
+        pass
+
+
 def _remove_all() -> None:
     for spark, path in _made:
         try:
