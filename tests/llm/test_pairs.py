@@ -221,8 +221,8 @@ def test_toxicity(spark, frame):
     assert len({r.score for r in toxicity_kn.classify(frame(texts[:5]), labels.limit(0)).collect()}) == 1
 
 
-def test_kneser_ney_sums_to_one():
-    """At every context the probabilities of all characters add up to one at most, and nearly so at frequent ones."""
+def test_signs_of_ratios():
+    """Words of either class lean to it; the sums and values are held against the definition in test_advice_toxicity."""
     ws, counts = ["abab", "abc", "ca", "bca"], np.array([[5, 2], [3, 0], [1, 4], [2, 2]], float)
     cells = toxicity_kn.count_cells(ws, counts, 16, 3)
     model = toxicity_kn.build_model(cells, 16, 3)
