@@ -220,14 +220,15 @@ def dedup_lines(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = keys.groupBy("line").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("line", "first")
     repeated = materialise(keys.select("key", "line").join(groups, "line").select("key", "first"), "line-repeated")
     dropped = places.join(_small(repeated, SMALL_KEYS), "key").where(~place.eqNullSafe(F.col("first"))).groupBy("row").agg(F.collect_set("ix").alias("dropped"))
-    dropped = materialise(dropped.withColumnRenamed("row", "dropped_of"), "line-dropped")
+    ix, of = (next(x for x in (c + "_" * n for n in range(len(docs.columns) + 1)) if x not in docs.columns) for c in ("dropped", "dropped_of"))
+    dropped = materialise(dropped.select(F.col("row").alias(of), F.col("dropped").alias(ix)), "line-dropped")
     columns = [c for c in docs.columns if c not in ("n_lines", "n_kept_lines")]
     own = F.xxhash64("doc_id", "text")
-    out = docs.select(*columns).join(_small(dropped, SMALL_ROWS), own == F.col("dropped_of"), "left")
+    out = docs.select(*columns).join(_small(dropped, SMALL_ROWS), own == F.col(of), "left")
     n = F.size(F.filter(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.trim(x) != ""))
-    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("dropped", i)), "\n")
+    kept = F.array_join(F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains(ix, i)), "\n")
     return out.select(
-        *(F.when(F.col("dropped").isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns),
+        *(F.when(F.col(ix).isNotNull(), kept).otherwise(F.col("text")).alias("text") if c == "text" else F.col(c) for c in columns),
         n.cast("bigint").alias("n_lines"),
-        (n - F.coalesce(F.size("dropped"), F.lit(0))).cast("bigint").alias("n_kept_lines"),
+        (n - F.coalesce(F.size(ix), F.lit(0))).cast("bigint").alias("n_kept_lines"),
     )
