@@ -27,10 +27,24 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_good(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text, and the other columns as one, so that no name of theirs meets one of an operator's."""
+    others = (F.col(c).alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in ("doc_id", "text"))
+    return docs.select("doc_id", "text", F.struct(F.lit(0).alias("none"), *others).alias("rest"))
+
+
+def _unpacked(left: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs, of the packed rows that are left."""
+    return left.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"rest.c{i}").alias(c) for i, c in enumerate(docs.columns)))
+
+
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that repeat an earlier one; a document of which nothing is left goes."""
-    left = dedup_lines(docs).where((F.col("n_kept_lines") > 0) | (F.col("n_lines") == 0))
-    return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    left = dedup_lines(_packed(docs)).where((F.col("n_kept_lines") > 0) | (F.col("n_lines") == 0))
+    left = _unpacked(left, docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,9 +55,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of any benchmark item: a single leaked item is a leak."""
-    rest = tuple(c for c in docs.columns if c != "doc_id")
-    found = find_contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=rest)
-    return found.where(F.size("item_ids") == 0).select(*docs.columns)
+    found = find_contamination(_packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), keep=("text", "rest"))
+    return _unpacked(found.where(F.size("item_ids") == 0), docs)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
