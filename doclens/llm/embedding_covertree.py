@@ -1,14 +1,20 @@
 """Near-duplicate embeddings: dual traversal of cover trees, exact.
 
-On unit vectors a cosine of at least t is a distance of at most tau = sqrt(2 - 2t). Vectors are dealt into cells
-around pivots (the top of the tree, chosen farthest-first from a bounded sample), large cells into blocks by a hash.
-Each block becomes a cover tree: nested levels of centres whose radii halve, every node with its true covering radius.
-A pair of trees is walked downwards together: a pair of nodes with centres further apart than both covering radii and
-tau holds no link and is dropped with all below it; what is left at the leaves is decided by the cosine in double
-precision. Pairs of cells are dropped by the same bound before anything is sent.
+On unit vectors a cosine of at least t is a distance of at most tau = sqrt(2 - 2t). The top of the tree are pivots,
+chosen farthest-first from a bounded sample; every vector goes to the cell of its nearest one, large cells into blocks by
+a hash. Each block becomes a cover tree: nested levels of centres whose radii halve, down to about tau; its lowest nodes
+are given the smallest radius around their mean. Trees are packed, and every pack is written once; each pair of
+packs meets in a task that reads both from the shared folder, so that no vector is sent to its partners by a shuffle.
+
+A pair of trees is walked downwards together. A node reaches a tree only if it lies as near to that tree's pivot as the
+tree's own nodes do, less tau and the radii: that holds for one node in a few, and is asked of both sides. A pair of
+nodes with centres further apart than both radii and tau holds no link (first by a bound from a projection, then by all
+dimensions); one that lies within tau, radii included, holds nothing but links; the points of what is left are decided by
+the cosine in double precision.
 
 A task returns counts of links and a spanning forest of them, not the links; equal vectors are one point with a
-multiplicity. So a vector that a third of the rows repeat, or nearly do, costs no more rows than any other.
+multiplicity. So a vector that a third of the rows repeat, or nearly do, costs no more rows than any other. On vectors
+that lie evenly in many dimensions the pairs of nodes to be bounded still grow faster than the input.
 """
 
 from __future__ import annotations
@@ -20,13 +26,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from doclens.llm.components import connected_components
-from doclens.llm.store import materialise
+from doclens.llm.store import give_back, materialise
 
 THRESHOLD = 0.95
-BLOCK = 2048
-SAMPLE = 2048  # vectors from which pivots are chosen; any choice gives the same links
-MAX_CELLS = 512
-SLACK = 1e-7  # distances are rounded; bounds are loosened by more than that
+BLOCK = 1024  # vectors of a tree
+SAMPLE = 2  # vectors for each pivot, from which they are chosen; any choice gives the same links
+MAX_CELLS = 8192
+PIECE = 512  # nodes of a tree, in the order of their nearness to the pivot, that are bounded together
+PACK_BYTES, PACKS = 16_000_000, 32  # of vectors in a pack at most; packs at least, if there are as many trees
+SIDES = 24  # parts into which packs are dealt: so many squared tasks
+PREFIX = 16  # dimensions of the projection
+SMALL_ROWS = 500_000  # of 32 bytes
+SLACK = 1e-5  # single precision is rounded; bounds are loosened by more than that
 
 
 def tau(threshold: float) -> float:
@@ -75,17 +86,6 @@ class CoverTree:
         np.minimum.at(least, node, gram[node, np.arange(len(node))])
         return np.sqrt(np.maximum(0.0, 2 - 2 * least))
 
-    def children(self, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """For each centre of a level: where its children begin in the list of the next level's centres, and how many."""
-        if level + 1 < len(self.levels):
-            below = np.unique(self.levels[level + 1])
-            above = self.levels[level][below]
-        else:
-            below, above = np.arange(len(self.x)), self.levels[level]
-        order = np.argsort(above, kind="stable")
-        count = np.bincount(above, minlength=len(self.x))
-        return np.concatenate([[0], np.cumsum(count)[:-1]]), count, below[order]
-
 
 def _products(a: tuple, b: tuple, u: np.ndarray, v: np.ndarray, most: int = 200_000):
     """Child pairs of node pairs (u, v), and whether the pair is a node with itself. A node pair with many child pairs
@@ -108,39 +108,6 @@ def _products(a: tuple, b: tuple, u: np.ndarray, v: np.ndarray, most: int = 200_
         yield a[2][a[0][p][pair] + at // wide], b[2][b[0][q][pair] + at % wide], (p == q)[pair]
 
 
-def _cosines(a: CoverTree, b: CoverTree, p: np.ndarray, q: np.ndarray) -> np.ndarray:
-    if p.ndim == 2:
-        return a.x[p[:, 0]] @ b.x[q[0]].T
-    return np.concatenate([np.einsum("ij,ij->i", a.x[p[s : s + 50_000]], b.x[q[s : s + 50_000]]) for s in range(0, len(p), 50_000)]) if len(p) else np.zeros(0)
-
-
-def linked(a: CoverTree, b: CoverTree, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """All (i, j), i of a and j of b, with a cosine of threshold or more; each pair once where a is b."""
-    same, reach = a is b, tau(threshold)
-    u, v = np.array([a.levels[0][0]]), np.array([b.levels[0][0]])
-    for level in range(len(a.levels)):
-        down_a, down_b = a.children(level), b.children(level)
-        leaves = level + 1 == len(a.levels)
-        kept = []
-        for p, q, alike in _products(down_a, down_b, u, v):
-            c = _cosines(a, b, p, q)
-            if leaves:
-                near = c >= threshold - SLACK
-            else:
-                limit = np.minimum(2.0, a.radius[level + 1][p] + b.radius[level + 1][q] + reach)
-                near = c >= 1 - limit * limit / 2 - SLACK
-            if same:  # below a pair of two nodes all pairs are new; below a node with itself each comes twice
-                near &= ~np.asarray(alike) | (p < q if leaves else p <= q)
-            if p.ndim == 2:
-                i, j = np.nonzero(near)
-                kept.append((p[i, 0], q[0, j]))
-            else:
-                kept.append((p[near], q[near]))
-        u, v = (np.concatenate(x) for x in zip(*kept)) if kept else (np.zeros(0, np.int64),) * 2
-    exact = _cosines(a, b, u, v)
-    return u[exact >= threshold], v[exact >= threshold]
-
-
 def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     """For each of n points the least point that the links reach."""
     label = np.arange(n)
@@ -154,19 +121,190 @@ def forest(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
             return label
 
 
-def _grouped(batches, width: int):
-    """(key, rows of the other columns as lists) for each run of equal first ``width`` columns."""
-    key, rows = None, []
-    for batch in batches:
-        columns = [c.to_pylist() for c in batch.columns]
-        for r in zip(*columns):
-            if r[:width] != key:
-                if rows:
-                    yield key, rows
-                key, rows = r[:width], []
-            rows.append(r[width:])
-    if rows:
-        yield key, rows
+class Pack:
+    """Trees of one vector length, written once. x: vectors as given, node after node; start, size, radius, centre of
+    the lowest nodes, in pieces that begin at ``piece`` and whose pivots are ``cell``."""
+
+    def __init__(self, trees: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], pivots: np.ndarray, smallest: float):
+        parts = [[] for _ in range(8)]
+        points = nodes = 0
+        for cell, ids, n, x in trees:
+            v = unit(x)
+            centre_of = CoverTree(v, smallest).levels[-1]
+            own, node = np.unique(centre_of, return_inverse=True)
+            size = np.bincount(node)
+            mean = np.zeros((len(own), v.shape[1]))
+            np.add.at(mean, node, v)
+            length = np.sqrt(np.einsum("ij,ij->i", mean, mean))
+            mean = np.where((length > 1e-9)[:, None], mean / np.maximum(length, 1e-9)[:, None], v[own])
+            mean = np.where((size == 1)[:, None], v[own], mean)
+            far = np.zeros(len(own))
+            gap = v - mean[node]
+            np.maximum.at(far, node, np.sqrt(np.einsum("ij,ij->i", gap, gap)))
+            by_pivot = np.argsort(-(mean @ pivots[cell]), kind="stable")
+            rank = np.empty(len(own), np.int64)
+            rank[by_pivot] = np.arange(len(own))
+            order = np.argsort(rank[node], kind="stable")
+            size, mean, far = size[by_pivot], mean[by_pivot], far[by_pivot]
+            begin = np.arange(0, len(own), PIECE)
+            several = size > 1
+            for part, value in zip(parts, (ids[order], n[order], x[order], size, np.where(several, far + 1e-6, 0.0), mean[several].astype(np.float32), nodes + begin, np.full(len(begin), cell))):
+                part.append(value)
+            points, nodes = points + len(ids), nodes + len(own)
+        self.ids, self.n, self.x, self.size, self.radius, self.centre, self.piece, self.cell = (np.concatenate(x) for x in parts)
+
+    def open(self, pivots: np.ndarray, projection: np.ndarray | None) -> Pack:
+        """With what can be had from the rest: unit vectors of the nodes, their projections, the bound of each piece."""
+        self.start = np.cumsum(self.size) - self.size
+        self.weight = np.add.reduceat(self.n, self.start)
+        self.c = unit(self.x[self.start]).astype(np.float32)
+        self.c[self.size > 1] = self.centre
+        self.short = self.c
+        if projection is not None:
+            low = self.c @ projection
+            rest = np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", low, low)))
+            self.short = np.concatenate([low, rest[:, None]], axis=1)
+        ends = np.append(self.piece[1:], len(self.size))
+        home = np.einsum("ij,ij->i", self.c, pivots[np.repeat(self.cell, ends - self.piece)])
+        self.least = np.minimum.reduceat(home - self.radius, self.piece)
+        self.ends = ends
+        return self
+
+    def products(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.start, self.size, np.arange(len(self.ids))
+
+
+def projection(dim: int) -> np.ndarray | None:
+    """Orthonormal columns, the same everywhere; none if that would spare nothing."""
+    if dim < 2 * PREFIX:
+        return None
+    return np.linalg.qr(np.random.default_rng(0).normal(size=(dim, PREFIX)))[0].astype(np.float32)
+
+
+def node_pairs(a: Pack, b: Pack, pivots: np.ndarray, reach: float):
+    """u, v, d: nodes of a and of b that may hold a link, and the cosine of their centres; each pair once where a is b."""
+    near_a = a.c @ pivots[b.cell].T + a.radius[:, None].astype(np.float32) >= (b.least - reach - SLACK).astype(np.float32)
+    near_b = near_a if a is b else b.c @ pivots[a.cell].T + b.radius[:, None].astype(np.float32) >= (a.least - reach - SLACK).astype(np.float32)
+    for i, (s, e) in enumerate(zip(a.piece, a.ends)):
+        for j in range(i if a is b else 0, len(b.piece)):
+            u = s + np.flatnonzero(near_a[s:e, j])
+            v = b.piece[j] + np.flatnonzero(near_b[b.piece[j] : b.ends[j], i])
+            if not len(u) or not len(v):
+                continue
+            r, most = a.radius[u], b.radius[v].max()
+            limit = 1 - np.minimum(2.0, reach + r + most) ** 2 / 2 - SLACK
+            grid = a.short[u] @ b.short[v].T
+            if grid.max() < limit.min():
+                continue
+            p, q = np.nonzero(grid >= limit[:, None].astype(np.float32))
+            if a is b and i == j:
+                p, q = p[u[p] < v[q]], q[u[p] < v[q]]
+            if len(p) > 0.05 * grid.size:
+                d = (a.c[u] @ b.c[v].T)[p, q]
+            else:
+                d = np.concatenate([np.zeros(0, np.float32), *(np.einsum("ij,ij->i", a.c[u[p[k : k + 50_000]]], b.c[v[q[k : k + 50_000]]]) for k in range(0, len(p), 50_000))])
+            u, v = u[p], v[q]
+            near = d >= 1 - np.minimum(2.0, reach + a.radius[u] + b.radius[v]) ** 2 / 2 - SLACK
+            if near.any():
+                yield u[near], v[near], d[near].astype(np.float64)
+
+
+def _decided(a: np.ndarray, b: np.ndarray, p: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of rows p of a and q of b, as a grid or as lists, with a cosine of threshold or more."""
+    if p.ndim == 2:
+        near = unit(a[p[:, 0]]) @ unit(b[q[0]]).T >= threshold - 1e-9
+        i, j = np.nonzero(near)
+        p, q = p[i, 0], q[0, j]
+    exact = [np.zeros(0, bool)]
+    for s in range(0, len(p), 50_000):
+        exact.append(np.einsum("ij,ij->i", unit(a[p[s : s + 50_000]]), unit(b[q[s : s + 50_000]])) >= threshold)
+    exact = np.concatenate(exact)
+    return p[exact], q[exact]
+
+
+def linked(a: Pack, b: Pack, pivots: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """ids, label, n: points of a or b with links between the two (each pair once where a is b), a point that they reach,
+    and how many vectors each is linked with."""
+    same, reach = a is b, tau(threshold)
+    offset = 0 if same else len(a.ids)
+    ids, weight = (a.ids, a.n) if same else (np.concatenate([a.ids, b.ids]), np.concatenate([a.n, b.n]))
+    counts = np.zeros(len(ids), np.int64)
+    edges, held = [], 0
+
+    def join(u: np.ndarray, v: np.ndarray) -> None:
+        nonlocal edges, held
+        edges.append((u, v))
+        held += len(u)
+        if held > 4_000_000:
+            label = forest(len(ids), *(np.concatenate(x) for x in zip(*edges)))
+            moved = np.flatnonzero(label != np.arange(len(ids)))
+            edges, held = [(moved, label[moved])], len(moved)
+
+    def decide(u: np.ndarray, v: np.ndarray) -> None:
+        """By the points of node pairs; of a node with itself, each pair once."""
+        for p, q, alike in _products(a.products(), b.products(), u, v):
+            i, j = _decided(a.x, b.x, p, q, threshold)
+            if same:
+                # pairs of a node with itself come twice, and each point with itself
+                own = np.repeat(np.arange(len(a.size)), a.size)
+                new = (own[i] != own[j]) | (i < j)
+                i, j = i[new], j[new]
+            j = j + offset
+            counts[:] += np.bincount(i, weight[j], len(ids)).astype(np.int64) + np.bincount(j, weight[i], len(ids)).astype(np.int64)
+            join(i, j)
+
+    whole = np.zeros(len(a.size) + (0 if same else len(b.size)), np.int64)  # links of every point of a node
+    nodes = 0 if same else len(a.size)
+    for u, v, d in node_pairs(a, b, pivots, reach):
+        inside = np.sqrt(np.maximum(0, 2 - 2 * d) + 4 * SLACK) + a.radius[u] + b.radius[v] <= reach - SLACK
+        i, j = u[inside], v[inside]
+        np.add.at(whole, i, b.weight[j])
+        np.add.at(whole, j + nodes, a.weight[i])
+        join(a.start[i], b.start[j] + offset)
+        decide(u[~inside], v[~inside])
+    size = a.size if same else np.concatenate([a.size, b.size])
+    first = a.start if same else np.concatenate([a.start, b.start + offset])
+    node = np.repeat(np.arange(len(size)), size)
+    if same:
+        inside = 2 * a.radius <= reach - SLACK
+        counts += np.where(inside[node], a.weight[node] - a.n, 0)
+        k = np.flatnonzero(~inside)
+        decide(k, k)
+    else:
+        inside = np.zeros(len(size), bool)
+    # the points of a node that is linked as a whole are joined through its first
+    told = np.flatnonzero(((inside | (whole > 0)) & (size > 1))[node])
+    join(told, first[node[told]])
+    counts += whole[node]
+    label = forest(len(ids), *(np.concatenate(x) for x in zip(*edges)))
+    touched = np.flatnonzero((counts > 0) | (label != np.arange(len(ids))))
+    return ids[touched], ids[label[touched]], counts[touched]
+
+
+def condensed(found: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """One row an id: its counts summed, and the least id that the labels reach."""
+    a, b, n = (np.concatenate(x) for x in zip(*found))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    counts = np.zeros(len(ids), np.int64)
+    np.add.at(counts, u, n)
+    return ids, ids[forest(len(ids), u, v)], counts
+
+
+def _vectors(batch, column: int):
+    """For each vector length in a batch: the length, the rows that have it, their vectors."""
+    lists = batch.column(column)
+    flat, size = lists.flatten().to_numpy(zero_copy_only=False), lists.value_lengths().to_numpy(zero_copy_only=False)
+    start = np.cumsum(size) - size
+    for dim in np.unique(size):
+        i = np.flatnonzero(size == dim)
+        yield int(dim), i, flat[start[i][:, None] + np.arange(dim)]
+
+
+def _nearest(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The pivot of each vector; a few at a time, as there may be many pivots."""
+    x = unit(x).astype(np.float32)
+    return np.concatenate([(x[s : s + 1024] @ pivots.T).argmax(1) for s in range(0, len(x), 1024)])
 
 
 def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -175,103 +313,144 @@ def near_duplicates(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFra
     A vector that is null, empty or zero, has a null or non-finite component, or whose vec_id is null, is linked with
     nothing and is its own component; so are vectors of different lengths with each other. Equal vectors in several
     rows are linked like others, rows with the same vec_id are one component. Other columns, such as labels, are not
-    read; an empty table gives none."""
+    read; an empty table gives none. Equal vectors are told by 128 bits of hash."""
     spark = vectors.sparkSession
-    own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    kind = vectors.schema["embedding"].dataType.simpleString()
+    kind = kind if kind in ("array<float>", "array<double>") else "array<double>"
+    width = np.float32 if kind == "array<float>" else np.float64
+    own = vectors.select("vec_id", F.col("embedding").cast(kind).alias("embedding"))
     sound = F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    valid = own.where(F.coalesce(sound, F.lit(False)))
-    points = materialise(valid.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("dim", F.size("embedding")), "points")
-    equal = valid.join(points.where("n > 1").select("embedding", "rep", "n"), "embedding").select("vec_id", "rep", "n")
-
-    total = points.count()
+    valid = own.where(F.coalesce(sound, F.lit(False))).select("vec_id", "embedding", F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"))
+    keyed = valid.select("vec_id", "h1", "h2")
+    repeated = materialise(keyed.groupBy("h1", "h2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).where("n > 1"), "repeated")
+    few = repeated.count() <= SMALL_ROWS
+    small = F.broadcast if few else (lambda df: df)
+    points = valid.join(small(repeated), ["h1", "h2"], "left").where("rep IS NULL OR rep = vec_id").select(F.col("vec_id").alias("rep"), F.coalesce("n", F.lit(1)).alias("n"), "h1", "embedding")
+    points = points if few else materialise(points, "points")
+
+    total = vectors.count()
     cells = int(min(MAX_CELLS, max(1, -(-total // BLOCK))))
     pivots: dict[int, np.ndarray] = {}
-    sample = points.select("embedding", "dim").orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).toPandas()
-    for dim, group in sample.groupby("dim"):
-        x = unit(np.stack(group["embedding"].to_numpy()))
+    part = max(1, total // max(2048, SAMPLE * cells))
+    sample = points.where(F.pmod(F.xxhash64("rep"), F.lit(part)) == 0).select("embedding").toPandas()["embedding"]  # about 2 * MAX_CELLS rows at most
+    sample = {d: unit(np.stack([np.asarray(x) for x in sample if len(x) == d])).astype(np.float32) for d in {len(x) for x in sample}}
+    for dim, x in sample.items():
         chosen, worst = [0], x @ x[0]
-        while len(chosen) < min(cells, len(x)) and worst.min() < 1 - 1e-9:
+        while len(chosen) < min(cells, len(x)) and worst.min() < 1 - 1e-6:
             chosen.append(int(worst.argmin()))
             worst = np.maximum(worst, x @ x[chosen[-1]])
-        pivots[int(dim)] = x[chosen]
+        pivots[dim] = x[chosen]
     shared = spark.sparkContext.broadcast(pivots)
 
-    def assign(batches):
-        """The nearest pivot of each vector and its distance; a length without pivots is one cell around the first axis."""
+    def of(dim: int) -> np.ndarray:
+        """A length without pivots is one cell around the first axis."""
+        p = shared.value.get(dim)
+        return np.eye(1, dim, dtype=np.float32) if p is None else p
+
+    def count(batches):
         import pyarrow as pa
 
         for batch in batches:
-            dims = batch.column(3).to_numpy()
-            cell, far = np.zeros(len(dims), np.int64), np.zeros(len(dims))
-            lists = batch.column(2).to_pylist()
-            for dim in np.unique(dims):
-                i = np.flatnonzero(dims == dim)
-                x = unit(np.array([lists[k] for k in i], np.float64))
-                p = shared.value.get(int(dim))
-                p = np.eye(1, int(dim)) if p is None else p
-                c = x @ p.T
-                cell[i] = c.argmax(1)
-                far[i] = np.sqrt(np.maximum(0, 2 - 2 * c.max(1)))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), pa.array(cell), pa.array(far)], names=["rep", "n", "embedding", "dim", "cell", "far"])
-
-    placed = points.select("rep", "n", "embedding", "dim").mapInArrow(assign, "rep bigint, n bigint, embedding array<double>, dim int, cell bigint, far double")
-    placed = materialise(placed, "cells")
+            for dim, _, x in _vectors(batch, 0):
+                cell, n = np.unique(_nearest(x, of(dim)), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(cell), dim, np.int32)), pa.array(cell), pa.array(n)], names=["dim", "cell", "n"])
+
     # at most MAX_CELLS rows for each vector length
-    sizes = {(r.dim, r.cell): (r.n, r.far) for r in placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("far")).collect()}
-    blocks = {k: -(-n // BLOCK) for k, (n, _) in sizes.items()}
-    partners: dict[tuple[int, int], list[tuple[int, int]]] = {}
-    for dim, cell in sizes:
-        p = pivots.get(dim, np.eye(1, dim))
-        near = np.sqrt(np.maximum(0, 2 - 2 * (p @ p[cell])))
-        partners[dim, cell] = [(d, c) for d, c in sizes if d == dim and near[c] <= sizes[dim, cell][1] + sizes[d, c][1] + tau(threshold) + SLACK]
-    plan = spark.sparkContext.broadcast((blocks, partners))
-    split = F.create_map(*(F.lit(x) for (d, c), b in blocks.items() for x in (f"{d}:{c}", b))) if blocks else F.create_map(F.lit(""), F.lit(1))
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), split[F.concat_ws(":", "dim", "cell")]).cast("int"))
-
-    def trees(batches):
-        """The tree of each block, once for each pair of blocks that it is in."""
+    sizes = points.select("embedding").mapInArrow(count, "dim int, cell bigint, n bigint").groupBy("dim", "cell").agg(F.sum("n").alias("n")).orderBy("dim", "cell").collect()
+    plan: dict[int, dict[int, tuple[int, list[int]]]] = {}  # of each cell: its first block, and the packs of its blocks
+    packs, block, last, room = 0, 0, None, 0
+    for r in sizes:
+        most = max(1, min(PACK_BYTES // (r.dim * width().itemsize), max(BLOCK, -(-total // PACKS))))
+        blocks = -(-r.n // BLOCK)
+        own_packs = []
+        for _ in range(blocks):
+            if r.dim != last or room < r.n // blocks:
+                packs, last, room = packs + 1, r.dim, most
+            room -= r.n // blocks
+            own_packs.append(packs)
+        plan.setdefault(r.dim, {})[r.cell] = (block, own_packs)
+        block += blocks
+    dealt = spark.sparkContext.broadcast(plan)
+
+    def place(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for dim, i, x in _vectors(batch, 3):
+                cell, h = _nearest(x, of(dim)), batch.column(2).to_numpy()[i]
+                where = [(p[1][k := int(y) % len(p[1])], p[0] + k) for c, y in zip(cell, h) for p in (dealt.value[dim][int(c)],)]
+                pack, at = (np.array(w, np.int64) for w in zip(*where))
+                data = np.ascontiguousarray(x, width)
+                columns = [pa.array(np.full(len(i), dim, np.int32)), pa.array(pack), pa.array(at), pa.array(cell), pa.array(batch.column(0).to_numpy()[i]), pa.array(batch.column(1).to_numpy()[i]), pa.array([row.tobytes() for row in data], pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["dim", "pack", "block", "cell", "rep", "n", "data"])
+
+    def packed(batches):
         import pyarrow as pa
 
-        counts, near = plan.value
-        for (dim, cell, block), rows in _grouped(batches, 3):
-            ids, n, lists = zip(*rows)
-            tree = CoverTree(unit(np.array(lists, np.float64)), tau(threshold) / 8)
-            data = pickle.dumps((np.array(ids), np.array(n), tree), protocol=5)
-            me = (cell, block)
-            for d, c in near[dim, cell]:
-                for b in range(counts[d, c]):
-                    first, second = min(me, (c, b)), max(me, (c, b))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([dim], pa.int32()), pa.array([f"{first[0]}.{first[1]} {second[0]}.{second[1]}"]), pa.array([0 if me == first else 1], pa.int32()), pa.array([data], pa.binary())], names=["dim", "pair", "side", "data"]
-                    )
+        def written(key, trees):
+            pack = Pack(trees, of(key[0]), tau(threshold) * 0.51)
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int64()), pa.array([pickle.dumps(pack, protocol=5)], pa.binary())], names=["dim", "pack", "data"])
+
+        def tree(rows):
+            unlike = {data: (rep, n) for rep, n, data in sorted(rows, reverse=True)}  # a row that is there twice is one
+            ids, n = (np.array(x, np.int64) for x in zip(*unlike.values()))
+            return ids, n, np.frombuffer(b"".join(unlike), width).reshape(len(ids), -1)
+
+        key, block, rows, trees = None, None, [], []
+        for batch in batches:
+            for dim, pack, at, cell, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if block is not None and at != block[0]:
+                    trees.append((block[1], *tree(rows)))
+                    rows = []
+                if key is not None and (dim, pack) != key:
+                    yield written(key, trees)
+                    trees = []
+                key, block = (dim, pack), (at, cell)
+                rows.append(tuple(row))
+        if rows:
+            yield written(key, [*trees, (block[1], *tree(rows))])
+        give_back()
 
     def walk(batches):
         import pyarrow as pa
 
-        for _, rows in _grouped(batches, 2):
-            loaded = [pickle.loads(data) for _, data in sorted(rows, key=lambda r: r[0])]
-            (ids_a, n_a, a), (ids_b, n_b, b) = loaded[0], loaded[-1]
-            if len(loaded) == 1:
-                b = a
-            u, v = linked(a, b, threshold)
-            if not len(u):
-                continue
-            offset = 0 if a is b else len(ids_a)
-            ids = ids_a if a is b else np.concatenate([ids_a, ids_b])
-            counts = np.bincount(u, n_b[v], len(ids)) + np.bincount(v + offset, n_a[u], len(ids))
-            label = forest(len(ids), u, v + offset)
-            touched = np.flatnonzero(counts)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[touched]), pa.array(ids[label[touched]]), pa.array(counts[touched].astype(np.int64))], names=["a", "b", "n"])
-
-    sent = placed.select("dim", "cell", "block", "rep", "n", "embedding").repartition("dim", "cell", "block").sortWithinPartitions("dim", "cell", "block").mapInArrow(trees, "dim int, pair string, side int, data binary")
-    met = materialise(sent.repartition("dim", "pair").sortWithinPartitions("dim", "pair", "side").mapInArrow(walk, "a bigint, b bigint, n bigint"), "links")
-    direct = met.groupBy("a").agg(F.sum("n").alias("others")).withColumnRenamed("a", "rep")
-    copies = equal.select("vec_id", "rep", (F.col("n") - 1).alias("copies"))
-    edges = met.select("a", "b").unionByName(copies.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
+        def rows(found):
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in condensed(found)], names=["a", "b", "n"])
+
+        found, held, left, a = [], 0, None, None
+        lower = {}
+        for batch in batches:
+            for k in range(batch.num_rows):
+                dim, i, j = (batch.column(c)[k].as_py() for c in range(3))
+                if dim not in lower:
+                    lower = {dim: projection(dim)}
+                if left != i:
+                    left, a = i, pickle.loads(batch.column(3)[k].as_buffer()).open(of(dim), lower[dim])
+                b = a if i == j else pickle.loads(batch.column(4)[k].as_buffer()).open(of(dim), lower[dim])
+                found.append(linked(a, b, of(dim), threshold))
+                held += len(found[-1][0])
+                if held > 2_000_000:
+                    found = [condensed(found)]
+                    held = len(found[0][0]) // 2
+        if held:
+            yield rows(found)
+        give_back()
+
+    table = points.select("rep", "n", "h1", "embedding").mapInArrow(place, "dim int, pack bigint, block bigint, cell bigint, rep bigint, n bigint, data binary")
+    table = table.repartition("dim", "pack").sortWithinPartitions("dim", "pack", "block").mapInArrow(packed, "dim int, pack bigint, data binary")
+    table = materialise(table, "packs").coalesce(max(1, min(SIDES, packs // 4)))
+    # each pair of packs once, and about as many of them wherever two parts meet
+    i, j = F.col("i"), F.col("j")
+    once = (F.col("left_dim") - F.col("dim") == 0) & ((i == j) | ((i < j) == ((i + j) % 2 == 0)))
+    pairs = table.select(F.col("dim").alias("left_dim"), F.col("pack").alias("i"), F.col("data").alias("x")).hint("shuffle_replicate_nl").join(table.select("dim", F.col("pack").alias("j"), F.col("data").alias("y")), once)
+    met = materialise(pairs.select("dim", "i", "j", "x", "y").mapInArrow(walk, "a bigint, b bigint, n bigint"), "links")
+    direct = met.groupBy("a").agg(F.sum("n").alias("others")).where("others > 0").withColumnRenamed("a", "rep")
+    copied = materialise(repeated.join(direct, "rep", "left").select("h1", "h2", "rep", (F.col("n") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "copied")
+    equal = keyed.join(small(copied), ["h1", "h2"]).select("vec_id", "rep", "n_links")
+    edges = met.select("a", "b").unionByName(equal.select(F.col("vec_id").alias("a"), F.col("rep").alias("b")))
     components = connected_components(edges, "vectors")
 
-    reps = valid.join(points.select("embedding", "rep", "n"), "embedding").select("vec_id", "rep", (F.col("n") - 1).alias("copies"))
-    linked_rows = reps.join(direct, "rep", "left").groupBy("vec_id").agg(F.max(F.col("copies") + F.coalesce("others", F.lit(0))).alias("n_links"))
+    linked_rows = equal.select("vec_id", "n_links").unionByName(direct.select(F.col("rep").alias("vec_id"), F.col("others").alias("n_links"))).groupBy("vec_id").agg(F.max("n_links").alias("n_links"))
     out = vectors.select("vec_id").join(linked_rows.withColumnRenamed("vec_id", "of"), F.col("vec_id") == F.col("of"), "left").join(components, F.col("vec_id") == F.col("id"), "left")
     component = F.coalesce("component", "vec_id")
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
