@@ -35,7 +35,7 @@ MAX_CELLS = 8192
 PIECE = 512  # nodes of a tree, in the order of their nearness to the pivot, that are bounded together
 PACK_BYTES, PACKS = 16_000_000, 32  # of vectors in a pack at most; packs at least, if there are as many trees
 SIDES = 24  # parts into which packs are dealt: so many squared tasks
-PREFIX = 16  # dimensions of the projection
+PREFIX = 32  # dimensions of the projection; with so many, unrelated nodes seldom pass
 SMALL_ROWS = 500_000  # of 32 bytes
 SLACK = 1e-5  # single precision is rounded; bounds are loosened by more than that
 
@@ -196,7 +196,7 @@ def node_pairs(a: Pack, b: Pack, pivots: np.ndarray, reach: float):
             grid = a.short[u] @ b.short[v].T
             if grid.max() < limit.min():
                 continue
-            p, q = np.nonzero(grid >= limit[:, None].astype(np.float32))
+            p, q = np.divmod(np.flatnonzero((grid >= limit[:, None].astype(np.float32)).ravel()), len(v))  # faster than in two dimensions
             if a is b and i == j:
                 p, q = p[u[p] < v[q]], q[u[p] < v[q]]
             if len(p) > 0.05 * grid.size:
