@@ -46,7 +46,13 @@ def tau(threshold: float) -> float:
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = np.asarray(vectors, np.float64)
-    return v / np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+    square = np.einsum("ij,ij->i", v, v)
+    if len(v) and not 1e-250 < square.min() <= square.max() < 1e250:  # squares that vanish or overflow
+        far = ~((square > 1e-250) & (square < 1e250))
+        v = v.copy()
+        v[far] /= np.abs(v[far]).max(1)[:, None]
+        square = np.einsum("ij,ij->i", v, v)
+    return v / np.sqrt(square)[:, None]
 
 
 class CoverTree:

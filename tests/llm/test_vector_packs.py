@@ -37,3 +37,21 @@ def test_vectors_are_not_sent_to_every_partner(spark, monkeypatch):
     rows = embedding_covertree.near_duplicates(df).collect()
     assert shuffled(spark) - before < 4 * x.nbytes
     assert {r.vec_id: (r.n_links, r.component_id) for r in rows} == {k: (link[k].sum(), want.find(k)) for k in range(len(x))}
+
+
+def test_vectors_of_extreme_lengths_and_many_copies(spark, monkeypatch):
+    """Finite components whose squares overflow or vanish; copies beyond what is broadcast."""
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(200, 40))
+    x = np.concatenate([base, base[0] + rng.normal(size=(60, 40)) * 0.15, np.repeat(base[:1], 90, 0), np.repeat(base[50:70], 3, 0), 1e-200 * base[:1], 1e200 * base[1:2]])
+    x = x[rng.permutation(len(x))]
+    u = x / np.abs(x).max(1)[:, None]
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    link = u @ u.T >= 0.95
+    np.fill_diagonal(link, False)
+    label = embedding_covertree.forest(len(x), *np.nonzero(link))
+    monkeypatch.setattr(embedding_covertree, "BLOCK", 64)
+    monkeypatch.setattr(embedding_covertree, "SMALL_ROWS", 0, raising=False)
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id bigint, embedding array<double>")
+    rows = embedding_covertree.near_duplicates(df).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in rows} == {k: (link[k].sum(), label[k]) for k in range(len(x))}
