@@ -16,7 +16,7 @@ from doclens.llm.bpe_fst import encode_documents
 from doclens.llm.decontaminate import find_contamination
 from doclens.llm.line_dedup import dedup_lines
 from doclens.llm.quality_gam import keep_good, train
-from doclens.llm.store import materialise
+from doclens.llm.store import materialise, small_batches
 
 #: SQL cannot express the learned first stage; tests hold the stages against brute force instead.
 ORACLE_SQL = None
@@ -24,6 +24,7 @@ ORACLE_SQL = None
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the additive model, trained on the labelled ones among docs, doesn't reject."""
+    small_batches(spark)
     return keep_good(docs, train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
@@ -49,6 +50,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the smallest doc_id."""
+    small_batches(spark)
     others = materialise(near_duplicates(docs).where("NOT kept").select("doc_id").distinct(), "others")
     return docs.join(F.broadcast(others) if others.count() <= 2_000_000 else others, "doc_id", "left_anti").select(*docs.columns)
 
@@ -63,6 +65,7 @@ def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, and text as decoded from the ids."""
     import public_tokenizers
 
+    small_batches(spark)
     coded = encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", "text")
 

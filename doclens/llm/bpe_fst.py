@@ -49,6 +49,8 @@ class BpeTransducer:
         self._reset()
 
     def _reset(self) -> None:
+        for state in getattr(self, "states", {}).values():
+            state.clear()  # states point at each other; else they would wait for the garbage collector beside new ones
         self.states: dict[bytes, dict] = {}
         self.short: dict[bytes, tuple[int, ...]] = {}
         self.start = self._state(b"")

@@ -53,6 +53,17 @@ def give_back() -> None:
         pass
 
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def small_batches(spark: SparkSession, most: str = "2m") -> None:
+    """Python workers get their rows in batches of some 2 MB (a longer row is one of its own), unless the session says
+    otherwise. By default a task's whole file is one batch, which the executor holds several times: while it is filled,
+    as it is sent, and in the worker. The setting stays with the session, as plans are made when they are run."""
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, most)
+
+
 def _remove_all() -> None:
     for spark, path in _made:
         try:

@@ -48,3 +48,36 @@ def test_stage(spark, sf_dir, stage):
     else:
         assert set(got) <= set(everything)
     assert function(spark, documents(spark, []), sf_dir).count() == 0
+
+
+def test_workers_get_small_batches(spark, sf_dir):
+    """A task's rows must not come to its Python worker as one batch."""
+    import corpus_pipeline
+    from doclens.llm.store import BATCH_BYTES
+
+    docs = spark.range(4000).selectExpr("id AS doc_id", "repeat(CAST(id AS string), 1000) AS text").coalesce(1)
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"size": pa.array([batch.nbytes], pa.int64())})
+
+    for name, function in corpus_pipeline.STAGES:
+        if name in ("quality", "near_dedup", "bpe"):
+            spark.conf.unset(BATCH_BYTES)
+            try:
+                function(spark, documents(spark, [(1, "one two")]), sf_dir)
+                assert max(r.size for r in docs.mapInArrow(sizes, "size bigint").collect()) < 3_000_000
+            finally:
+                spark.conf.unset(BATCH_BYTES)
+
+
+def test_forgotten_states_are_freed():
+    """States point at each other; those forgotten must not wait for the garbage collector beside the new ones."""
+    from doclens.llm.bpe_fst import BpeTransducer
+
+    coder = BpeTransducer({bytes([b]): b for b in range(256)} | {b"ab": 256, b"abc": 257, b"abcd": 258}, max_states=3)
+    old = coder.start
+    assert [coder.encode(p) for p in (b"abab", b"abca", b"abcda", b"abcab")] == [(256, 256), (257, 97), (258, 97), (257, 256)]
+    assert coder.start is not old and not old
