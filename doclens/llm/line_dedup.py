@@ -25,6 +25,8 @@ union-find, and of each component the first occurrence by doc_id and place stays
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -37,7 +39,9 @@ THRESHOLD = 0.8
 BINS, ROWS, BANDS = 32, 4, 16  # at 0.8 a pair shares a bucket with probability 0.996, at 0.3 with 0.12, at 0.02 with 3e-6
 BORROW = (0, 5, 11, 18)  # the bin itself and those that an empty one borrows from, in turn
 ALL_BELOW, FILLED = 100, 10  # places; bins
+ARRAY = 100_000  # characters of a line whose shingles may all be in one array
 WORDS = 16  # of 64 bits, in a bitmap
+FEW = 256  # shingles that are looked for in the other line one by one
 BLOCK = 256  # lines of a bucket that are compared at once
 SMALL_KEYS, SMALL_ROWS = 2_000_000, 500_000  # of 8 bytes; of a document with its dropped places
 
@@ -52,9 +56,10 @@ def normal(line: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """doc_id, row, ix, norm, key of every line that isn't blank. row tells rows apart that share a doc_id."""
-    # parts and row are columns of their own, so that they are made once a document and not once a line
-    parts = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), F.split(F.coalesce("text", F.lit("")), "\n").alias("parts"))
-    every = parts.select("doc_id", "row", F.posexplode("parts").alias("ix", "line")).where(F.trim("line") != "")
+    # row is a column of its own, so that it is made once a document and not once a line; parts is none, as a filter on
+    # its size would be put before it, which splits each text twice
+    texts = docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row"))
+    every = texts.select("doc_id", "row", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("ix", "line")).where(F.trim("line") != "")
     return every.select("doc_id", "row", "ix", normal("line").alias("norm")).withColumn("key", F.xxhash64("norm"))
 
 
@@ -73,35 +78,61 @@ def _shingle_count(units: Column) -> Column:
     return F.greatest((F.length(units) / 4).cast("int") - (SHINGLE - 1), F.lit(1))
 
 
-def _hash_at(units: Column, i: Column) -> Column:
-    return F.xxhash64(F.substring(units, i * 4 + 1, F.lit(SHINGLE * 4)))
+def _bound(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is made once, however often f names it. A select beside it would not do: filters are pushed
+    through that, with the whole expression in each place."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def _apart(c: str) -> Column:
+    """A column as it is, by a lambda, which keeps its whole select out of whole-stage code: there many columns make one
+    method, and one of more than 8000 bytes is never compiled by the JVM."""
+    return _bound(F.col(c), lambda x: x).alias(c)
+
+
+def _every(norm: Column) -> Column:
+    """The hashes of all shingles of a line, repeats included."""
+    hashes = lambda u: F.transform(F.sequence(F.lit(1), F.greatest(F.length(u) - (SHINGLE * 4 - 1), F.lit(1)), F.lit(4)), lambda at: F.xxhash64(F.substring(u, at, F.lit(SHINGLE * 4))))
+    return _bound(_units(norm), hashes)
+
+
+def _sampled(norm: Column) -> Column:
+    """The same of the shingles that follow a blank; a match of the expression is one."""
+    return F.transform(F.regexp_extract_all(norm, F.lit(f"(?s) (?=({'.' * SHINGLE}))"), F.lit(1)), lambda s: F.xxhash64(s))
 
 
 def shingles(norm: Column) -> Column:
     """The hashes of the different shingles of a line."""
-    # the units are bound to a lambda's variable, as a column of bytes would be copied for each shingle
-    hashes = lambda u: F.array_distinct(F.transform(F.sequence(F.lit(0), _shingle_count(u) - 1), lambda i: _hash_at(u, i)))
-    return F.get(F.transform(F.array(_units(norm)), hashes), F.lit(0))
+    return F.array_distinct(_every(norm))
 
 
-def _all_hashes(texts: DataFrame) -> DataFrame:
-    """key, n (places), h of each shingle, repeats included."""
-    each = texts.select("key", _units(F.col("norm")).alias("units")).withColumn("n", _shingle_count(F.col("units")))
-    each = each.select("key", "units", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("i"))
-    return each.select("key", "n", _hash_at(F.col("units"), F.col("i")).alias("h"))
+def _bin(h: Column) -> Column:
+    """By the first bits, so that sorted hashes lie bin by bin; from -BINS / 2."""
+    return F.shiftright(h, 65 - BINS.bit_length()).cast("int")
 
 
-def _some_hashes(texts: DataFrame) -> DataFrame:
-    """The same of the shingles that follow a blank; a match of the expression is one."""
-    found = F.regexp_extract_all("norm", F.lit(r"(?s) (?=(.{%d}))" % SHINGLE), F.lit(1))
-    each = texts.select("key", F.length("norm").alias("length"), F.explode(found).alias("s"))
-    return each.select("key", (F.col("length") - (SHINGLE - 1)).alias("n"), F.xxhash64("s").alias("h"))
+def _bins(texts: DataFrame) -> DataFrame:
+    """key, b1_0, b1_1, ... (the least hash of the sample in each bin), b0_0, ... (of all shingles), later; texts: key,
+    norm. Where all shingles are called for and too many for an array, later is true and they are left out."""
+    long = F.length("norm") >= ALL_BELOW + SHINGLE - 1
+    # short lines, lines whose sample says little, and lines with nothing in it
+    enough = long & (F.size(F.array_distinct("g1")) >= FILLED)
+    # a select for each step: what one makes is stored once for the next
+    each = texts.select("key", "norm", F.sort_array(_sampled(F.col("norm"))).alias("h1"))
+    each = each.select("key", "norm", "h1", F.transform("h1", _bin).alias("g1"))
+    each = each.select("key", "h1", "g1", (~enough & (F.length("norm") > ARRAY)).alias("later"), F.when(~enough & (F.length("norm") <= ARRAY), F.sort_array(_every(F.col("norm")))).alias("h0"))
+    each = each.select("key", "h1", "g1", "later", "h0", F.transform("h0", _bin).alias("g0"))
+    least = lambda k, b: F.get(f"h{k}", F.array_position(f"g{k}", F.lit(b - BINS // 2)).cast("int") - 1).alias(f"b{k}_{b}")
+    return each.select(_apart("key"), "later", *(least(k, b) for k in (1, 0) for b in range(BINS)))
 
 
-def _bins(hashes: DataFrame) -> DataFrame:
-    """key, n, b0, b1, ...: the least hash in each bin."""
-    each = hashes.select("key", "n", F.col("h").bitwiseAND(BINS - 1).cast("int").alias("bin"), F.shiftrightunsigned("h", 33).cast("int").alias("v"))
-    return each.groupBy("key").agg(F.max("n").alias("n"), *(F.min(F.when(F.col("bin") == b, F.col("v"))).alias(f"b{b}") for b in range(BINS)))
+def _streamed_bins(texts: DataFrame) -> DataFrame:
+    """The same of all shingles of a line, a row each, so that no array holds them."""
+    each = texts.select("key", _units(F.col("norm")).alias("units"))
+    each = each.select("key", "units", F.explode(F.sequence(F.lit(0), _shingle_count(F.col("units")) - 1)).alias("i"))
+    each = each.select("key", F.xxhash64(F.substring("units", F.col("i") * 4 + 1, F.lit(SHINGLE * 4))).alias("h")).withColumn("bin", _bin(F.col("h")))
+    least = (F.min(F.when(F.col("bin") == b - BINS // 2, F.col("h"))).alias(f"b0_{b}") for b in range(BINS))
+    return each.groupBy("key").agg(*least)
 
 
 def band_bins() -> list[list[int]]:
@@ -112,27 +143,27 @@ def band_bins() -> list[list[int]]:
     return [[(b + 3 * k * r) % per + r * per for r in range(ROWS)] for k in range(rounds) for b in range(per)]
 
 
-def _buckets(bins: DataFrame, kind: int) -> DataFrame:
-    filled = sum((F.col(f"b{b}").isNotNull().cast("int") for b in range(1, BINS)), F.col("b0").isNotNull().cast("int"))
-    dense = bins.select("key", "n", filled.alias("filled"), *(F.coalesce(*(F.col(f"b{(b + o) % BINS}") for o in BORROW)).alias(f"d{b}") for b in range(BINS)))
+def _buckets(bins: DataFrame, kinds: tuple[int, ...]) -> DataFrame:
+    """key, buckets array<bigint>, and later if bins has it."""
+    rest = [c for c in bins.columns if c == "later"]
+    dense = bins.select(_apart("key"), *rest, *(F.coalesce(*(F.col(f"b{k}_{(b + o) % BINS}") for o in BORROW)).alias(f"d{k}_{b}") for k in kinds for b in range(BINS)))
     bands = []
-    for band, own in enumerate(band_bins()):
-        # a band without any shingle says nothing
-        some = F.coalesce(*(F.col(f"d{b}") for b in own)).isNotNull()
-        bands.append(F.when(some, F.xxhash64(F.lit(band), F.lit(kind), *(F.coalesce(f"d{b}", F.lit(-1)) for b in own))))
-    return dense.select("key", F.array_compact(F.array(*bands)).alias("buckets"), ((F.col("n") >= ALL_BELOW) & (F.col("filled") >= FILLED)).alias("enough"))
+    for k in kinds:
+        for band, own in enumerate(band_bins()):
+            # a band without any shingle says nothing
+            some = F.coalesce(*(F.col(f"d{k}_{b}") for b in own)).isNotNull()
+            bands.append(F.when(some, F.xxhash64(F.lit(band), F.lit(k), *(F.coalesce(f"d{k}_{b}", F.lit(-1)) for b in own))))
+    return dense.select("key", *rest, F.array_compact(F.array(*bands)).alias("buckets"))
 
 
 def signatures(lines: DataFrame) -> DataFrame:
-    """key, buckets array<bigint> for each different line and kind of signature; lines: key, norm."""
-    some = materialise(_buckets(_bins(_some_hashes(distinct_lines(lines))), 1), "line-signatures")
-    # short lines, lines whose sample says little, and lines with nothing in it
-    enough = some.where("enough").select("key")
-    short = F.length("norm") < ALL_BELOW + SHINGLE - 1
-    rest = lines.select("key", "norm")
-    rest = rest.where(short).unionByName(rest.where(~short).join(_small(enough, SMALL_KEYS), "key", "left_anti"))
-    rest = materialise(_buckets(_bins(_all_hashes(distinct_lines(rest))), 0).select("key", "buckets"), "line-signatures")
-    return some.select("key", "buckets").unionByName(rest)
+    """key, buckets array<bigint> of each different line, of a long one in two rows; lines: key, norm."""
+    each = materialise(_buckets(_bins(distinct_lines(lines)), (1, 0)), "line-signatures")
+    later = each.where("later").select("key")
+    if not later.isEmpty():
+        rest = lines.select("key", "norm").where(F.length("norm") > ARRAY).join(_small(later, SMALL_KEYS), "key", "left_semi")
+        each = each.drop("later").unionByName(materialise(_buckets(_streamed_bins(distinct_lines(rest)), (0,)), "line-signatures"))
+    return each.select("key", "buckets")
 
 
 def bitmaps(texts: DataFrame) -> DataFrame:
@@ -150,7 +181,10 @@ def _may_link(x: Column, y: Column, threshold: float) -> Column:
 
 
 def _pair(x: Column, y: Column) -> list[Column]:
-    return [F.least(x["key"], y["key"]).alias("a"), F.greatest(x["key"], y["key"]).alias("b")]
+    """a, b with the smaller key first, and the shingles of each."""
+    ends = [F.struct(m["key"].alias("key"), m["n"].alias("n")) for m in (x, y)]
+    a, b = F.least(*ends), F.greatest(*ends)
+    return [a["key"].alias("a"), b["key"].alias("b"), a["n"].alias("a_n"), b["n"].alias("b_n")]
 
 
 def first_pairs(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -177,19 +211,46 @@ def other_pairs(members: DataFrame, marks: DataFrame, components: DataFrame, thr
     return pairs.select(*_pair(F.col("x"), F.col("y"))).distinct()
 
 
+def _pieces(norm: Column) -> Column:
+    """The words of a line, each with the blank and the characters after it that its shingles reach into: every shingle
+    lies in a piece."""
+    return F.regexp_extract_all(norm, F.lit(r"(?s)(?=([^ ]* ?.{0,%d}))[^ ]* ?" % (SHINGLE - 1)), F.lit(1))
+
+
+def _linked(x: Column, y: Column, x_n: Column, y_n: Column, threshold: float) -> Column:
+    """Whether the similarity of x and y, of x_n and y_n shingles, is threshold or more. Shingles that only one has lie
+    in pieces that only it has, and their places bound the similarity from below; if that isn't enough, those of x are
+    looked for in y one by one if they are few, or else the whole sets are made."""
+    both = F.struct(shingles(x).alias("x"), shingles(y).alias("y"))
+    similar = lambda common, union: common >= threshold * union - 1e-9
+    whole = _bound(both, lambda s: _bound(F.size(F.array_intersect(s["x"], s["y"])), lambda n: similar(n, F.size(s["x"]) + F.size(s["y"]) - n)))
+    only = lambda a, b: F.filter(F.array_except(a, b), lambda p: F.length(p) >= SHINGLE)
+    places = lambda a: F.aggregate(a, F.lit(0), lambda n, p: n + F.length(p) - (SHINGLE - 1))
+    slices = lambda p: F.transform(F.sequence(F.lit(1), F.length(p) - (SHINGLE - 1)), lambda i: F.substring(p, i, F.lit(SHINGLE)))
+    missing = lambda a: F.size(F.filter(F.array_distinct(F.flatten(F.transform(a, slices))), lambda s: ~F.contains(y, s)))
+
+    def judged(own: Column, most: Column) -> Column:
+        surely = similar(F.greatest(x_n - most["x"], y_n - most["y"]), F.least(x_n + most["y"], y_n + most["x"]))
+        return F.when(surely, True).when(most["x"] <= FEW, _bound(missing(own["x"]), lambda n: similar(x_n - n, y_n + n))).otherwise(whole)
+
+    pieces = F.struct(_pieces(x).alias("x"), _pieces(y).alias("y"))
+    own = _bound(pieces, lambda p: F.struct(only(p["x"], p["y"]).alias("x"), only(p["y"], p["x"]).alias("y")))
+    apart = _bound(own, lambda o: _bound(F.struct(places(o["x"]).alias("x"), places(o["y"]).alias("y")), lambda most: judged(o, most)))
+    return F.when((F.length(x) < SHINGLE) | (F.length(y) < SHINGLE), whole).otherwise(apart)
+
+
 def verified_pairs(texts: DataFrame, pairs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """a, b of the pairs(a, b) whose shingle sets have a Jaccard similarity of threshold or more; texts: key, norm."""
+    """a, b of the pairs(a, b, a_n, b_n) whose shingle sets have a Jaccard similarity of threshold or more; texts: key, norm."""
     side = lambda k, x: texts.select(F.col("key").alias(k), F.col("norm").alias(x))
-    sides = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").select("a", "b", shingles(F.col("x")).alias("x"), shingles(F.col("y")).alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    return sides.where(common >= threshold * (F.size("x") + F.size("y") - common) - 1e-9).select("a", "b")
+    sides = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
+    return sides.where(_linked(F.col("x"), F.col("y"), F.col("a_n"), F.col("b_n"), threshold)).select("a", "b")
 
 
 def links_between(lines: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """a, b: links that join all lines that a chain of similar pairs joins, each pair in a common bucket."""
     each = signatures(lines).select("key", F.explode("buckets").alias("bucket"))
-    shared = materialise(each.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket"), "line-buckets")
-    members = materialise(each.join(_small(shared, SMALL_KEYS), "bucket", "left_semi"), "line-members")
+    together = each.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).where("n > 1")
+    members = materialise(together.select("bucket", "key"), "line-members")
     wanted = materialise(members.select("key").distinct(), "line-keys")
     texts = materialise(distinct_lines(lines.select("key", "norm").join(_small(wanted, SMALL_KEYS), "key", "left_semi")), "line-texts")
     marks = materialise(bitmaps(texts), "line-bitmaps")
