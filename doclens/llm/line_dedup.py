@@ -19,6 +19,8 @@ blocks, and each pair of blocks is compared by a task's join. Each line has a bi
 parity of its shingles whose hashes fall there: a shingle that only one of two lines has turns one bit, so bitmaps
 differ in no more bits than the sets do in shingles, and pairs whose bitmaps differ in more than the threshold allows
 are left out without loss; for the others the Jaccard similarity of the whole shingle sets, as 64-bit hashes, decides.
+It is found from the pieces (words with what their shingles reach into) that only one line has, as a shingle that only
+one has lies in one of them; whole sets are made where those pieces hold more than ``FEW`` shingles and leave it open.
 What the lines share turns no bit, so that long lines are told apart as well as short ones. Linked lines are joined by distributed
 union-find, and of each component the first occurrence by doc_id and place stays.
 """
